@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash, substring, toxicity
 
 
 def queries():
-    return {"op5_simhash_near_dedup": simhash.op5_simhash_near_dedup}
+    return {
+        "op3_quality_rules": quality.op3_quality_rules,
+        "op4_substring_dedup": substring.op4_substring_dedup,
+        "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_substring_dedup": substring.OP4_SQL}
