@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, substring, toxicity
+from . import maxscore, packing, quality, simhash, substring, tokenfile, toxicity
 
 
 def queries():
     return {
+        "op1_packing": packing.op1_packing,
+        "op2_token_files": tokenfile.op2_token_files,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op6_exact_topk": maxscore.op6_exact_topk,
         "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
 def oracle_sql():
-    return {"op4_substring_dedup": substring.OP4_SQL}
+    return {"op4_substring_dedup": substring.OP4_SQL, "op6_exact_topk": maxscore.OP6_SQL}
