@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import maxscore, packing, quality, simhash, substring, tokenfile, toxicity
+from . import lm, maxscore, packing, pieces, quality, sharding, simhash, substring, tokenfile, toxicity
 
 
 def queries():
@@ -13,9 +13,12 @@ def queries():
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_exact_topk": maxscore.op6_exact_topk,
+        "op7_lm_scoring": lm.op7_lm_scoring,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_sharding": sharding.op9_sharding,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
 def oracle_sql():
-    return {"op4_substring_dedup": substring.OP4_SQL, "op6_exact_topk": maxscore.OP6_SQL}
+    return {"op4_substring_dedup": substring.OP4_SQL, "op6_exact_topk": maxscore.OP6_SQL, "op9_sharding": sharding.OP9_SQL}
