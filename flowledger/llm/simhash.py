@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, staged, text_bytes
+from .common import id_or_last, partitions, slices, staged, text_bytes
 from .graph import connected_components, forest
 
 #: A group of more fingerprints than this is split by further masks.
@@ -219,6 +219,24 @@ def links(prints: DataFrame, n_words: int, distance: int, radius: int, blocks: i
     return reduce(DataFrame.union, found)
 
 
+def _vertex(n_words: int):
+    """The fingerprint itself where it is one word, else a hash of its words."""
+    return F.col("words")[0] if n_words == 1 else F.xxhash64("words")
+
+
+def _classes(printed: DataFrame, n_words: int, distance: int, radius: int, blocks: int) -> DataFrame:
+    """printed: doc_id, words. Returns id (a fingerprint's vertex), component (the smallest vertex of its class) and
+    component_id (the smallest doc_id of its class)."""
+    names = [f"w{i}" for i in range(n_words)]
+    distinct = printed.groupBy("words").agg(F.min("doc_id").alias("least"))
+    distinct = staged(distinct.select(_vertex(n_words).alias("id"), *(F.col("words")[i].alias(x) for i, x in enumerate(names)), "least"), "simhash-distinct")
+    edges = links(distinct.select("id", *names), n_words, distance, radius, blocks)
+    reached = staged(connected_components(edges), "simhash-components")
+    least = distinct.join(reached, distinct["id"] == reached["vertex"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = reached.join(least, "component").select(F.col("vertex").alias("id"), "component", "component_id")
+    return distinct.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (42,), distance: int = 3, radius: int | None = None, blocks: int = 1) -> DataFrame:
     """docs with doc_id and text -> doc_id, words (the fingerprint, array<long>), component_id.
 
@@ -229,21 +247,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (4
     get a row. A null doc_id stays null; it never names a component unless all members are null, when it is null. An
     empty table gives an empty one. Other columns of docs are ignored.
     """
-    if radius is None:
-        radius = distance // (blocks * len(seeds))
     n_words = len(seeds)
-    names = [f"w{i}" for i in range(n_words)]
+    radius = distance // (blocks * n_words) if radius is None else radius
     printed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text", width, seeds).alias("words")), "simhash")
-    distinct = printed.groupBy("words").agg(F.min("doc_id").alias("least"))
-    # vertices are numbered by the fingerprint itself where it is one word, else by a hash of its words
-    vertex = F.col("words")[0] if n_words == 1 else F.xxhash64("words")
-    distinct = staged(distinct.select(vertex.alias("id"), *(F.col("words")[i].alias(x) for i, x in enumerate(names)), "least"), "simhash-distinct")
-    edges = links(distinct.select("id", *names), n_words, distance, radius, blocks)
-    reached = staged(connected_components(edges), "simhash-components")
-    least = distinct.join(reached, distinct["id"] == reached["vertex"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = reached.join(least, "component").select(F.col("vertex").alias("id"), "component_id")
-    classes = distinct.join(joined, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.withColumn("id", vertex).join(classes, "id", "left").select("doc_id", "words", "component_id")
+    classes = _classes(printed, n_words, distance, radius, blocks)
+    return printed.withColumn("id", _vertex(n_words)).join(classes, "id", "left").select("doc_id", "words", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, seeds: tuple[int, ...] = (42, 43), distance: int = 19, radius: int = 4, blocks: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each class of near duplicates: the smallest doc_id
+    (a null one counts as the largest; among rows of one doc_id the one with the smallest text hash). Of equal rows one
+    stays.
+
+    The defaults mean five-word shingles of similarity 0.8 or more: two fingerprint words of that similarity differ in 19
+    of 128 bits (an angle of acos(2 * 0.8 / 1.8)). Four blocks of 32 bits with radius 4 cover that, as one of them has at
+    most 19 // 4 = 4 of the differences.
+    """
+    key = {"_k": id_or_last(), "_t": F.xxhash64("text")}
+    own = docs.withColumns(key)
+    printed = staged(own.select("_k", "_t", F.col("_k").alias("doc_id"), fingerprint_column("text", width, seeds).alias("words")), "simhash")
+    classes = _classes(printed.select("doc_id", "words"), len(seeds), distance, radius, blocks)
+    placed = printed.withColumn("id", _vertex(len(seeds))).join(classes, "id")
+    kept = staged(placed.groupBy("component").agg(F.min(F.struct("_k", "_t")).alias("row")).select("row._k", "row._t"), "simhash-kept")
+    found = own.join(kept, ["_k", "_t"], "left_semi")
+    if not printed.groupBy("_k", "_t").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["_k", "_t"])
+    return found.drop("_k", "_t").select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
