@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, documents, id_or_last, partitions, per_process, rolling, slices, text_bytes
+from .common import WordHashes, documents, id_or_last, mixed, partitions, per_process, rolling, slices, text_bytes
 
 #: Words in a window.
 WINDOW = 13
@@ -106,40 +106,68 @@ def _window_rows(window: int, ranges: int):
     return run
 
 
-def _hit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range -> (id, hits): for each document the hashes that also start in a smaller one."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def _hit_rows(groups: int):
+    """Rows sorted by range -> rows (group, ids, hits): of a group of documents, each (id, hash) whose hash also starts
+    in a smaller document. Packed, so that a document doesn't cost a row for each task that owns one of its hashes."""
 
-    def by_document() -> pa.RecordBatch:
+    def by_group(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         hashes, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        group = (mixed(ids) % np.uint64(groups)).astype(np.int32)
+        order = np.lexsort((ids, group))
+        hashes, ids, group = hashes[order], ids[order], group[order]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, int)
+        cut = lambda x: pa.array([packed(y) for y in np.split(x, starts[1:])] if len(x) else [], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(group[starts]), cut(ids), cut(hashes)], names=["group", "ids", "hits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close(rows: list[tuple]) -> None:
+            hashes, ids, hits, hit_ids = ([unpacked(x) for x in column if x] for column in zip(*rows, strict=True))
+            found.extend(zip(hits, hit_ids, strict=True))
+            _, _, more, more_ids = first_of_each(np.concatenate(hashes), np.concatenate(ids))
+            found.append((more, more_ids))
+
+        at, rows = None, []
+        for batch in batches:
+            columns = [x.to_pylist() for x in batch.columns]
+            for k, *row in zip(*columns, strict=True):
+                if k != at and rows:
+                    close(rows)
+                    rows = []
+                    if sum(len(x) for x, _ in found) >= HELD_HITS:
+                        yield by_group(found)
+                        found.clear()
+                at = k
+                rows.append(row)
+        if rows:
+            close(rows)
+        if found:
+            yield by_group(found)
+
+    return run
+
+
+def _document_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group -> (id, hits): one row for each document with hits."""
+
+    def by_document(rows: list[tuple]) -> pa.RecordBatch:
+        ids, hits = (np.concatenate([unpacked(x) for x in column]) for column in zip(*rows, strict=True))
         order = np.argsort(ids, kind="stable")
-        hashes, ids = hashes[order], ids[order]
-        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, int)
-        data = [x.tobytes() for x in np.split(hashes, starts[1:])] if len(ids) else []
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(unordered(ids[starts])), pa.array(data, pa.binary())], names=["id", "hits"])
-
-    def close(rows: list[tuple]) -> None:
-        hashes, ids, hits, hit_ids = ([unpacked(x) for x in column if x] for column in zip(*rows, strict=True))
-        found.extend(zip(hits, hit_ids, strict=True))
-        _, _, more, more_ids = first_of_each(np.concatenate(hashes), np.concatenate(ids))
-        found.append((more, more_ids))
+        ids, hits = ids[order], hits[order]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(unordered(ids[starts])), pa.array([x.tobytes() for x in np.split(hits, starts[1:])], pa.binary())], names=["id", "hits"])
 
     at, rows = None, []
     for batch in batches:
-        columns = [x.to_pylist() for x in batch.columns]
-        for k, *row in zip(*columns, strict=True):
+        for k, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if k != at and rows:
-                close(rows)
+                yield by_document(rows)
                 rows = []
-                if sum(len(x) for x, _ in found) >= HELD_HITS:
-                    yield by_document()
             at = k
             rows.append(row)
     if rows:
-        close(rows)
-    if found:
-        yield by_document()
+        yield by_document(rows)
 
 
 def removal_spans(words: list[bytes], hits: np.ndarray, hashes_of: WordHashes, window: int) -> list[tuple[int, int]]:
@@ -163,7 +191,7 @@ def _removal_column(window: int):
         n_words, n_removed, spans, kept = [], [], [], []
         for x, own in zip(text_bytes(text), hits.to_pylist(), strict=True):
             words = x.split()
-            cut = removal_spans(words, np.frombuffer(b"".join(own or []), np.uint64), hashes_of, window)
+            cut = removal_spans(words, np.frombuffer(own or b"", np.uint64), hashes_of, window)
             n_words.append(len(words))
             n_removed.append(sum(b - a for a, b in cut))
             spans.append([{"start": a, "end": b} for a, b in cut])
@@ -189,8 +217,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = partitions(docs.sparkSession)
     own = docs.withColumn("_row_id", id_or_last())
     windows = docs.select(id_or_last().alias("doc_id"), "text").mapInArrow(_window_rows(window, RANGES * n), "range int, hashes binary, ids binary, hit_hashes binary, hit_ids binary")
-    hits = windows.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_hit_rows, "id long, hits binary")
-    hits = hits.groupBy("id").agg(F.collect_list("hits").alias("_row_hits")).withColumnRenamed("id", "_row_id")
+    hits = windows.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_hit_rows(2 * n), "group int, ids binary, hits binary")
+    hits = hits.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_document_hits, "id long, hits binary")
+    hits = hits.withColumnsRenamed({"id": "_row_id", "hits": "_row_hits"})
     found = own.join(hits, "_row_id", "left")
     return found.withColumn("removal", _removal_column(window)("text", "_row_hits")).drop("_row_id", "_row_hits")
 
