@@ -1 +1 @@
-"""functions of the catalogue engine."""
+"""Column functions: numbers, units, names, physics and curves, all as native expressions."""

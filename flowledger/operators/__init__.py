@@ -1 +1 @@
-"""operators of the catalogue engine."""
+"""DataFrame operators of the catalogue engine. Rows are ordered by explicit columns, never by arrival."""

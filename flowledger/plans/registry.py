@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def queries():
-    return {}
 
+def query(name: str, sql: str | None = None):
+    """Registers a query (spark, sf_dir) -> DataFrame, with its DuckDB SQL where there is one."""
 
-def oracle_sql():
-    return {}
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        if name in _QUERIES:
+            raise ValueError(f"{name} is there already")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import curve_queries, entry_queries, page_queries, source_queries, table_queries  # noqa: F401  they register themselves
+
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["flagship_clean_models"](spark, sf_dir)
