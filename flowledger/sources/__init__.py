@@ -1 +1 @@
-"""sources of the catalogue engine."""
+"""Reading and writing catalogue data."""

@@ -1 +1 @@
-"""streaming of the catalogue engine."""
+"""Catalogue operators on streams; each has a batch twin that gives the same."""
