@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,56 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+class LearnedIds:
+    """What each known string stands for: a run of ids. Past its limit only the half that was used most often stays."""
+
+    def __init__(self, dtype, limit: int = WORD_TABLE):
+        self.limit = limit
+        self.place: dict = {}
+        self.flat = np.empty(1 << 16, dtype)
+        self.start = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _add(self, strings: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        used, first = int(self.start[-1]), len(self.uses)
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat) // 2, len(ids)), self.flat.dtype)])
+        self.flat[used : used + len(ids)] = ids
+        self.place.update(zip(strings, range(first, first + len(strings)), strict=True))
+        self.start = np.concatenate([self.start, used + np.cumsum(sizes)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(strings), np.int64)])
+
+    def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs one after another, where each starts, with the end)."""
+        begin = self.start[places]
+        sizes = self.start[places + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)], ends
+
+    def __call__(self, strings: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of strings. learn gives (ids one after another, number of ids of each) for strings not known yet."""
+        places = np.fromiter(map(self.place.get, strings, repeat(-1)), np.int64, len(strings))
+        lacking = np.flatnonzero(places < 0)
+        if len(lacking):
+            own = [strings[i] for i in lacking.tolist()]
+            new = list(dict.fromkeys(own))
+            self._add(new, *learn(new))
+            places[lacking] = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
+        self.uses += np.bincount(places, minlength=len(self.uses))
+        out = self.runs(places)
+        if len(self.place) > self.limit:
+            self._shrink()
+        return out
+
+    def _shrink(self) -> None:
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        ids, ends = self.runs(kept)
+        after = np.full(len(self.uses), -1)
+        after[kept] = np.arange(len(kept))
+        self.place = {x: a for x, a in zip(self.place, after[list(self.place.values())].tolist(), strict=True) if a >= 0}
+        self.flat, self.start, self.uses = ids, ends, self.uses[kept] // 2
+
+
 _per_process: dict = {}
 
 

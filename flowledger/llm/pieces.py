@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, documents, per_process, slices, text_bytes
+from .common import WORD_TABLE, LearnedIds, documents, per_process, slices, text_bytes
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -30,7 +30,7 @@ INDEXED = 1 << 20
 #: Cuts of more characters are relaxed one by one.
 LONG = 64
 #: Bytes of text that a task cuts at once.
-SLICE = 8 << 20
+SLICE = 6 << 20
 
 
 def model_path(name: str = DEFAULT_MODEL) -> str:
@@ -39,12 +39,21 @@ def model_path(name: str = DEFAULT_MODEL) -> str:
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of the suffixes' first depth characters, by prefix doubling; equal ones by position."""
-    rank, span = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
+    rank, span = codes.astype(np.int64) + 1, 1
+
+    def joined(step: int, base: int) -> np.ndarray:
+        behind = np.zeros_like(rank)
+        behind[: -step or None] = rank[step:] if step < len(rank) else 0
+        return rank * base + behind
+
+    if depth > 3:  # three characters fit one integer
+        behind = np.zeros((2, len(rank)), np.int64)
+        behind[0, :-1], behind[1, :-2] = rank[1:], rank[2:]
+        rank, span = (rank << 42) + (behind[0] << 21) + behind[1], 3
     while span < depth:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
         step = min(span, depth - span)
-        behind = np.zeros_like(rank)
-        behind[:-step or None] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + behind, return_inverse=True)[1].astype(np.int64) + 1
+        rank = joined(step, len(rank) + 2)
         span += step
     return np.argsort(rank, kind="stable")
 
@@ -103,12 +112,7 @@ class PieceModel:
         for b, i in enumerate(self.byte_ids):
             text_of[i] = bytes([b])
         self.text_of = text_of
-        self._reset()
-
-    def _reset(self):
-        self.place: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.int32)
-        self.start = np.zeros(1, np.int64)
+        self.known = LearnedIds(np.int32, 2 * WORD_TABLE)
 
     # ------------------------------------------------------------ new cuts
 
@@ -187,7 +191,12 @@ class PieceModel:
                 pair(before[i])
         return np.array(following)
 
-    def _learn(self, cuts: list[str]) -> None:
+    def _learn(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._encode_cuts(cuts[a:b]) for a, b in slices([len(x) for x in cuts], INDEXED)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return ids, sizes
+
+    def _encode_cuts(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         starts, table = self.edges(cuts)
         lengths = np.diff(starts) - 1
         ends = np.zeros(len(table), np.int64)  # by position: length of the symbol that starts there
@@ -219,33 +228,18 @@ class PieceModel:
                 out[place[u] : place[u] + len(data)] = self.byte_ids[list(data)]
             ids = out
         per_cut = np.bincount(owner, sizes, len(cuts)).astype(np.int64)
-        used = int(self.start[-1])
-        if used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
-        self.flat[used : used + len(ids)] = ids
-        first = len(self.start) - 1
-        self.place.update(zip(cuts, range(first, first + len(cuts)), strict=True))
-        self.start = np.concatenate([self.start, used + np.cumsum(per_cut)])
+        return ids, per_cut
 
     # ------------------------------------------------------------ whole texts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids start, with the end)."""
-        if len(self.place) > WORD_TABLE:
-            self._reset()
         cuts, starts = [], [0]
         for text in texts:
             if text:
                 cuts += self.cuts.findall(SPACE + text.decode().replace(" ", SPACE))
             starts.append(len(cuts))
-        new = sorted(set(cuts).difference(self.place))
-        for a, b in slices([len(x) for x in new], INDEXED):
-            self._learn(new[a:b])
-        at = np.fromiter(map(self.place.__getitem__, cuts), np.int64, len(cuts))
-        begin = self.start[at]
-        sizes = self.start[at + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)]
+        ids, ends = self.known(cuts, self._learn)
         return ids, ends[np.array(starts)]
 
     def decode(self, ids: np.ndarray) -> str:

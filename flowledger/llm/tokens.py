@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from itertools import chain
+
 import numpy as np
 import public_tokenizers
 
-from .common import WORD_TABLE, per_process
+from .common import WORD_TABLE, LearnedIds, per_process
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: The id that ends each document.
@@ -16,37 +20,68 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# The steps of the default tokenizer before its merges, as its file states them.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words of printable ASCII and Latin-1 letters, on which those steps are plain: no composition, no title case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordTokenizer:
     """encode() gives what the tokenizer gives for the whole text.
 
     The tokenizer cuts at white space and keeps nothing of it, and none of its steps reaches over ASCII white space, so a
-    text's ids are those of its words in turn. Each different word goes to the tokenizer once, until the table is full.
+    text's ids are those of its words in turn, and each word needs to be encoded only once as long as it is remembered.
+    Words of plain letters and marks are cut into parts here, and the tokenizer's own merges are asked for each new part;
+    all others, and all words if the tokenizer isn't built of the steps above, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self):
-        self.place: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.start: list[int] = [0]
-        self.start_array = np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, x in zip(words, encoded, strict=True):
-            ids = x.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[word] = len(self.start) - 1
-            self.start.append(self.used)
-        self.start_array = np.array(self.start, np.int64)
+        steps = json.loads(self.tokenizer.to_str())
+        normalizers = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") if x["type"] == "Split" else x["type"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = normalizers == NORMALIZERS and splits == [SPLIT, "ByteLevel"] and steps["post_processor"] is None
+        self.special = tuple(x["content"] for x in steps["added_tokens"])
+        self.letters = _byte_letters()
+        self.known = LearnedIds(np.uint32, WORD_TABLE * 3 // 2)
+        self.parts: dict[str, tuple[int, ...]] = {}
+
+    def _of_part(self, part: str) -> tuple[int, ...]:
+        ids = self.parts[part] = tuple([x.id for x in self.tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))])
+        return ids
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > WORD_TABLE:
+            self.parts.clear()
+        parts, flat, sizes, others = self.parts, [], [], []
+        for i, word in enumerate(map(bytes.decode, words)):
+            if self.plain and _PLAIN.fullmatch(word) and not ("<|" in word and any(x in word for x in self.special)):
+                before = len(flat)
+                for part in _PARTS.findall(word.lower()):
+                    flat += parts.get(part) or self._of_part(part)
+                sizes.append(len(flat) - before)
+            else:
+                others.append(i)
+                sizes.append(0)
+        ids, sizes = np.array(flat, np.uint32), np.array(sizes, np.int64)
+        if others:
+            encoded = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)]
+            at = np.repeat(np.cumsum(sizes)[others], list(map(len, encoded)))
+            ids = np.insert(ids, at, np.fromiter(chain.from_iterable(encoded), np.uint32))
+            sizes[others] = list(map(len, encoded))
+        return ids, sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids start, with the end)."""
@@ -54,15 +89,7 @@ class WordTokenizer:
         for text in texts:
             words += text.split()
             starts.append(len(words))
-        if len(self.place) > WORD_TABLE:
-            self._reset()
-        if new := sorted(set(words).difference(self.place)):
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        begin = self.start_array[at]
-        sizes = self.start_array[at + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)]
+        ids, ends = self.known(words, self._learn)
         return ids, ends[np.array(starts)]
 
     def encode_ended(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
