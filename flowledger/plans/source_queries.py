@@ -56,9 +56,10 @@ def _(spark, d):
 
 @query(
     "s12_job_upsert",
-    """WITH u AS (SELECT user_id AS job_id, event_type AS status, CASE WHEN event_id % 3 = 0 THEN event_id END AS catalog_id, epoch_us(ts) AS at, event_id FROM events), l AS (SELECT job_id, arg_max(status, {'a': at, 's': status}) AS status, max(at) AS at, max(catalog_id) AS cid FROM u GROUP BY job_id),
-    j AS (SELECT c_custkey AS job_id, 'new' AS status, c_custkey AS catalog_id FROM customer)
-    SELECT job_id, coalesce(l.status, j.status) AS status, CASE WHEN l.status = 'error' THEN l.at END AS completed_at FROM j FULL JOIN l USING (job_id)""",
+    """WITH u AS (SELECT user_id AS job_id, event_type AS status, epoch_us(ts) AS tm FROM events),
+    l AS (SELECT job_id, status, tm FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY tm DESC, CASE WHEN status = 'error' THEN 'failed' ELSE status END DESC) AS r FROM u) WHERE r = 1),
+    j AS (SELECT c_custkey AS job_id, 'new' AS status FROM customer)
+    SELECT job_id, coalesce(l.status, j.status) AS status, CASE WHEN l.status = 'error' THEN l.tm END AS completed_at FROM j FULL JOIN l USING (job_id)""",
 )
 def _(spark, d):
     e = table(spark, d, "events")
