@@ -33,33 +33,77 @@ MARK, VERSION, BLOCK = b"PFOR", 1, 128
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 90
 #: Ids after which a file is closed.
-FILE_IDS = 4 << 20
+FILE_IDS = 1 << 20
+#: Most files whose places in the whole are broadcast.
+BROADCAST_FILES = 500_000
 _HEAD = struct.Struct("<4sIQQQ")
 
 
+#: Blocks that are packed at once, so that their single bits stay few megabytes.
+PACKED = 4096
+_BITS = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values to rows of bytes, width bits each, lowest first."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of values to rows of bytes, width bits each, lowest first. Eight values of up to 16 bits fill two 64-bit
+    integers, of whose bytes the first width count."""
+    n, count = values.shape
+    if width > 16 or count % 8:
+        kind = "<u2" if width <= 16 else "<u4"
+        bits = np.unpackbits(values.astype(kind).view(np.uint8).reshape(n, count, -1), axis=2, bitorder="little")[:, :, :width]
+        return np.packbits(bits.reshape(n, -1), axis=1, bitorder="little")
+    eights = values.reshape(-1, 8).astype(np.uint64)
+    halves = np.zeros((len(eights), 2), "<u8")
+    for i in range(8):
+        at, value = i * width, eights[:, i]
+        if at < 64:
+            halves[:, 0] |= value << np.uint64(at)
+        if at >= 64:
+            halves[:, 1] |= value << np.uint64(at - 64)
+        elif at + width > 64:
+            halves[:, 1] |= value >> np.uint64(64 - at)
+    return halves.view(np.uint8).reshape(-1, 16)[:, :width].reshape(n, -1)
 
 
 def _unpack_bits(rows: np.ndarray, width: int, count: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1, bitorder="little")[:, : count * width].reshape(len(rows), count, width)
-    padded = np.zeros((len(rows), count, 32), np.uint8)
-    padded[:, :, :width] = bits
-    return np.packbits(padded, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    if width > 16 or count % 8:
+        kind, size = ("<u2", 16) if width <= 16 else ("<u4", 32)
+        bits = np.unpackbits(rows, axis=1, bitorder="little")[:, : count * width].reshape(len(rows), count, width)
+        padded = np.zeros((len(rows), count, size), np.uint8)
+        padded[:, :, :width] = bits
+        return np.packbits(padded, axis=2, bitorder="little").view(kind)[:, :, 0].astype(np.uint32)
+    halves = np.zeros((len(rows) * count // 8, 16), np.uint8)
+    halves[:, :width] = rows.reshape(-1, width)
+    low, high = halves.view("<u8").T
+    out, mask = np.empty((len(low), 8), np.uint32), np.uint64((1 << width) - 1)
+    for i in range(8):
+        at = i * width
+        value = low >> np.uint64(at) if at < 64 else high >> np.uint64(at - 64)
+        if at < 64 < at + width:
+            value = value | high << np.uint64(64 - at)
+        out[:, i] = value & mask
+    return out.reshape(len(rows), count)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value; 0 for 0."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
+    high = values >> np.uint32(16)
+    return np.where(high > 0, 16 + _BITS[high], _BITS[values & np.uint32(0xFFFF)])
 
 
 def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
-    """(block starts with the end, body). Blocks of one width are packed together."""
+    """(block starts with the end, body)."""
+    step, starts, bodies = PACKED * BLOCK, [np.zeros(1, np.int64)], []
+    for a in range(0, len(ids), step):
+        own, body = _encode_some(ids[a : a + step], percentile)
+        starts.append(own[1:] + starts[-1][-1])
+        bodies.append(body)
+    return np.concatenate(starts).astype(np.uint64), b"".join(bodies)
+
+
+def _encode_some(ids: np.ndarray, percentile: int) -> tuple[np.ndarray, bytes]:
+    """Blocks of one width are packed together."""
     n = -(-len(ids) // BLOCK)
-    if not n:
-        return np.zeros(1, np.uint64), b""
     grid = np.empty((n, BLOCK), np.uint32)
     grid.ravel()[: len(ids)] = ids
     tail = len(ids) - (n - 1) * BLOCK
@@ -67,8 +111,9 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.nda
     low = grid.min(axis=1)
     grid -= low[:, None]
     bits = _widths(grid)
-    width = np.sort(bits, axis=1)[:, -(-BLOCK * percentile // 100) - 1]
-    high = np.maximum(bits.max(axis=1) - width, 0)
+    place = -(-BLOCK * percentile // 100) - 1
+    width = np.partition(bits, place, axis=1)[:, place].astype(np.int64)
+    high = np.maximum(bits.max(axis=1).astype(np.int64) - width, 0)
     over = grid >> width[:, None].astype(np.uint32)
     over[width >= 32] = 0
     exceptions = (over > 0).sum(axis=1)
@@ -94,7 +139,7 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.nda
         body[at + np.arange(k)] = place
         values = _pack_bits(np.take_along_axis(over[rows], place, axis=1), w)
         body[at + k + np.arange(values.shape[1])] = values
-    return starts.astype(np.uint64), body.tobytes()
+    return starts, body.tobytes()
 
 
 def decode_blocks(starts: np.ndarray, body: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -143,8 +188,9 @@ class TokenFile:
         end = self.n_ids if end is None else min(end, self.n_ids)
         if start >= end:
             return np.empty(0, np.uint32)
-        first = start // BLOCK
-        return decode_blocks(self.starts, self.body, first, -(-end // BLOCK))[start - first * BLOCK : end - first * BLOCK]
+        first, last = start // BLOCK, -(-end // BLOCK)
+        parts = [decode_blocks(self.starts, self.body, a, min(a + PACKED, last)) for a in range(first, last, PACKED)]
+        return np.concatenate(parts)[start - first * BLOCK : end - first * BLOCK]
 
 
 FILE = "part long, number long, first_id long, ids_in_file long, doc_ids binary, file binary"
@@ -204,6 +250,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     before = parts.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("part_start"))
     within = files.select("part", "number", (F.sum("ids_in_file").over(Window.partitionBy("part").orderBy("number")) - F.col("ids_in_file")).alias("file_start"))
     starts = within.join(before, "part").select("part", "number", (F.col("part_start") + F.col("file_start")).alias("start"))
+    if files.select("part").count() <= BROADCAST_FILES:  # three integers for each file; beyond that, Spark shuffles the files
+        starts = F.broadcast(starts)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +259,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 file = TokenFile(data)
                 doc_ids = np.frombuffer(own, np.int64)
                 ends = np.concatenate([[0], np.cumsum(file.sizes, dtype=np.int64)])
-                for a, b in slices(file.sizes.tolist(), 1 << 20):
+                for a, b in slices(file.sizes.tolist(), 1 << 19):
                     ids = file.ids(int(ends[a]), int(ends[b])).astype("<u4")
                     cuts = ends[a : b + 1] - ends[a]
                     values = pa.array([ids[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
