@@ -18,7 +18,7 @@ NO_ID = 2**63 - 1
 #: Bytes of text that a task turns into Python words at once.
 TEXT_SLICE = 4 << 20
 #: A per-process word table starts anew beyond so many words.
-WORD_TABLE = 300_000
+WORD_TABLE = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,11 +134,14 @@ class LearnedIds:
 _per_process: dict = {}
 
 
-def per_process(key, make: Callable):
-    """One object of a kind for the life of a Python worker."""
-    if key not in _per_process:
-        _per_process[key] = make()
-    return _per_process[key]
+def per_process(group: str, key, make: Callable):
+    """One object of a key for the life of a Python worker, or until another group of objects is asked for: what one
+    operator remembers doesn't stay beside what the next one does."""
+    if any(g != group for g, _ in _per_process):
+        _per_process.clear()
+    if (group, key) not in _per_process:
+        _per_process[group, key] = make()
+    return _per_process[group, key]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -66,13 +66,12 @@ def _with_least(both: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges: a long, b long. Returns (vertex, component): every vertex of an edge with the smallest vertex reachable.
 
-    Map-side forests first, then rounds of large and small stars; each round is checkpointed, so that the plan doesn't
+    Forests of each partition first, then rounds of large and small stars; each round is checkpointed, so that the plan doesn't
     grow and a lost executor costs one round. Hot vertices (at most 2 * HOT_SHARE, as each has over a HOT_SHARE-th of
     the edges) are joined by broadcast, so no task gets a whole hot star. Null vertices and loops are ignored.
     """
     n = partitions(edges.sparkSession)
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = edges.mapInPandas(_local_forests, "a long, b long")
     edges = edges.repartition(n, "a").mapInPandas(_local_forests, "a long, b long").distinct().checkpoint()
     for _ in range(max_rounds):
         n_edges = edges.count()

@@ -248,7 +248,7 @@ class PieceModel:
 
 
 def piece_model(path: str) -> PieceModel:
-    return per_process(("pieces", path), lambda: PieceModel(path))
+    return per_process("pieces", path, lambda: PieceModel(path))
 
 
 def encode_column(path: str | None = None, text: str = "text"):

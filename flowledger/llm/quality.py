@@ -200,7 +200,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], trees: int =
 def statistics_column(text: str = "text"):
     @F.arrow_udf("array<double>")
     def of(column: pa.Array) -> pa.Array:
-        texts, hashes = text_bytes(column), per_process("words0", WordHashes)
+        texts, hashes = text_bytes(column), per_process("words", 0, WordHashes)
         rows = [measure(texts[a:b], hashes)[1] for a, b in slices(list(map(len, texts)))]
         flat = np.concatenate(rows).ravel() if rows else np.empty(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(flat))
@@ -226,7 +226,7 @@ def quality_column(model: BoostedTrees, threshold: float = 0.5, text: str = "tex
 
     @F.arrow_udf(f"struct<{SCHEMA.replace(' long', ':long').replace(' boolean', ':boolean').replace(' double', ':double')}>")
     def of(column: pa.Array) -> pa.Array:
-        texts, hashes = text_bytes(column), per_process("words0", WordHashes)
+        texts, hashes = text_bytes(column), per_process("words", 0, WordHashes)
         parts = [measure(texts[a:b], hashes) for a, b in slices(list(map(len, texts)))] or [(np.empty((0, 5), np.int64), np.empty((0, len(STATISTICS))))]
         counters, statistics = (np.concatenate(x) for x in zip(*parts, strict=True))
         failed, score = base_failed(counters), model.probability(statistics)

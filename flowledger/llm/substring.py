@@ -64,7 +64,7 @@ def _window_rows(window: int, ranges: int):
     """Batches of (doc_id, text) -> rows (range, hashes, ids, hit_hashes, hit_ids)."""
 
     def rows_of(ids: list[int], texts: list[bytes]) -> pa.RecordBatch | None:
-        hashes_of = per_process("words0", WordHashes)
+        hashes_of = per_process("words", 0, WordHashes)
         found, owners = [], []
         for a, b in slices([len(x) for x in texts]):
             words, starts = [], [0]
@@ -187,7 +187,7 @@ def removal_spans(words: list[bytes], hits: np.ndarray, hashes_of: WordHashes, w
 def _removal_column(window: int):
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,end:bigint>>,kept:string>")
     def of(text: pa.Array, hits: pa.Array) -> pa.Array:
-        hashes_of = per_process("words0", WordHashes)
+        hashes_of = per_process("words", 0, WordHashes)
         n_words, n_removed, spans, kept = [], [], [], []
         for x, own in zip(text_bytes(text), hits.to_pylist(), strict=True):
             words = x.split()

@@ -55,7 +55,7 @@ class WordTokenizer:
         self.plain = normalizers == NORMALIZERS and splits == [SPLIT, "ByteLevel"] and steps["post_processor"] is None
         self.special = tuple(x["content"] for x in steps["added_tokens"])
         self.letters = _byte_letters()
-        self.known = LearnedIds(np.uint32, WORD_TABLE * 3 // 2)
+        self.known = LearnedIds(np.uint32)
         self.parts: dict[str, tuple[int, ...]] = {}
 
     def _of_part(self, part: str) -> tuple[int, ...]:
@@ -63,7 +63,7 @@ class WordTokenizer:
         return ids
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > WORD_TABLE:
+        if len(self.parts) > WORD_TABLE // 2:
             self.parts.clear()
         parts, flat, sizes, others = self.parts, [], [], []
         for i, word in enumerate(map(bytes.decode, words)):
@@ -77,7 +77,7 @@ class WordTokenizer:
                 sizes.append(0)
         ids, sizes = np.array(flat, np.uint32), np.array(sizes, np.int64)
         if others:
-            encoded = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)]
+            encoded = [self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids for i in others]  # no threads in a worker
             at = np.repeat(np.cumsum(sizes)[others], list(map(len, encoded)))
             ids = np.insert(ids, at, np.fromiter(chain.from_iterable(encoded), np.uint32))
             sizes[others] = list(map(len, encoded))
@@ -101,4 +101,4 @@ class WordTokenizer:
 
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer of a path for the life of a Python worker."""
-    return per_process(("tokenizer", path), lambda: WordTokenizer(path))
+    return per_process("tokens", path, lambda: WordTokenizer(path))
