@@ -144,7 +144,7 @@ def _small_groups(distance: int, n_words: int):
         starts = np.flatnonzero(change)
         sizes = np.diff(np.append(starts, len(pdf)))
         found_a, found_b = [], []
-        for lag in range(1, 8 if len(sizes) else 1):  # small groups at once: each row against its next few
+        for lag in range(1, min(8, len(pdf))):  # small groups at once: each row against its next few
             same = np.flatnonzero(np.arange(len(pdf) - lag) + lag < np.repeat(starts + sizes, sizes)[: len(pdf) - lag])
             same = same[np.repeat(sizes <= 8, sizes)[same]]
             if len(same):
