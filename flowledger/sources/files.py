@@ -15,7 +15,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     if fmt != "text":
         reader = spark.read.schema(schema)
         return (reader.option("header", True).option("multiLine", True) if fmt == "csv" else reader).format(fmt).load(path)
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("name"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("name"))
     number = F.regexp_extract("name", r"-(\d+)\.[^.]*$", 1).try_cast("long")
     return raw.select(F.regexp_replace("name", r"-\d+\.[^.]*$", "").alias("source_file"), F.coalesce(number, F.lit(0)).alias("page_num"), "text")
 
