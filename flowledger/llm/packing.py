@@ -130,7 +130,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, windows
         raise ValueError("length and windows must be positive")
     path = path or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tasks = rows.rdd.getNumPartitions()
+    tasks = max(1, rows.rdd.getNumPartitions())
     packed = staged(rows.mapInArrow(_pack_texts(path, length, windows, end_id), PIECE), "packed")
     done, rest, pass_number = [packed.where("not open")], packed.where("open"), 0
     while True:
