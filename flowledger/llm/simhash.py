@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import id_or_last, partitions, slices, staged, text_bytes
 from .graph import connected_components, forest
 
@@ -254,21 +255,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (4
     return printed.withColumn("id", _vertex(n_words)).join(classes, "id", "left").select("doc_id", "words", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, seeds: tuple[int, ...] = (42, 43), distance: int = 19, radius: int = 4, blocks: int = 2) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, of one document of each class of near duplicates: the smallest doc_id
     (a null one counts as the largest; among rows of one doc_id the one with the smallest text hash). Of equal rows one
     stays.
 
-    The defaults mean five-word shingles of similarity 0.8 or more: two fingerprint words of that similarity differ in 19
-    of 128 bits (an angle of acos(2 * 0.8 / 1.8)). Four blocks of 32 bits with radius 4 cover that, as one of them has at
-    most 19 // 4 = 4 of the differences.
+    Documents link where the sets of their shingles of width words have a Jaccard similarity of 0.8 or more. All such links are
+    found and each is held against the whole sets, see shingles. Fingerprints have no part in it: at 0.8 they
+    differ in 19 of 128 bits on average only, so any limit on the bits misses links or joins documents that aren't near.
     """
     key = {"_k": id_or_last(), "_t": F.xxhash64("text")}
     own = docs.withColumns(key)
-    printed = staged(own.select("_k", "_t", F.col("_k").alias("doc_id"), fingerprint_column("text", width, seeds).alias("words")), "simhash")
-    classes = _classes(printed.select("doc_id", "words"), len(seeds), distance, radius, blocks)
-    placed = printed.withColumn("id", _vertex(len(seeds))).join(classes, "id")
-    kept = staged(placed.groupBy("component").agg(F.min(F.struct("_k", "_t")).alias("row")).select("row._k", "row._t"), "simhash-kept")
+    printed, classes = shingles.components(own.select("_k", "_t", "text"), width)
+    placed = printed.join(classes, "v")
+    kept = staged(placed.groupBy("component").agg(F.min(F.struct("_k", "_t")).alias("row")).select("row._k", "row._t"), "shingle-kept")
     found = own.join(kept, ["_k", "_t"], "left_semi")
     if not printed.groupBy("_k", "_t").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["_k", "_t"])

@@ -315,6 +315,40 @@ def test_one_of_each_stays(docs, empty):
     assert simhash.keep_one_of_each(empty).count() == 0
 
 
+def shingle_set(text, width=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def test_one_of_each_by_exact_shingle_similarity(spark):
+    """Near copies around similarity 0.8, a chain, a common line, and hubs that don't reach every member of a group."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    line, texts = " ".join(word() for _ in range(20)), []
+    for k in range(12):
+        base = [word() for _ in range(draw.choice([4, 9, 60, 200, 600]))]
+        texts.append(" ".join(base))
+        for _ in range(14):
+            own = base if draw.random() < 0.7 else texts[-1].split()
+            own = [word() if draw.random() < draw.choice([0.01, 0.02, 0.025, 0.03, 0.05]) else w for w in own]
+            texts.append(" ".join(own) + (" " + line if k % 3 == 0 else ""))
+    texts += [f"{word()} {line}" for _ in range(20)] + ["", None, " "]
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
 # ---------------------------------------------------------------- op6: top k
 
 
