@@ -91,8 +91,13 @@ def fingerprint_column(text: str = "text", width: int = 3, seeds: tuple[int, ...
 
 
 def block_masks(bits: list[int], radius: int) -> list[int]:
-    """Masks over the given bits, of which each pair that differs in at most radius of them agrees on one."""
-    vectors = [1 + j % (2 ** (radius + 1) - 1) for j in range(len(bits))]
+    """Masks over the given bits, of which each pair that differs in at most radius of them agrees on one.
+
+    The vectors of the first radius + 1 bits are 1, 2, 4, ..., so with more than radius bits no mask is zero.
+    """
+    units = [1 << k for k in range(radius + 1)]
+    order = units + [v for v in range(1, 2 ** (radius + 1)) if v not in units]
+    vectors = [order[j % len(order)] for j in range(len(bits))]
     masks = [sum(1 << b for b, m in zip(bits, vectors, strict=True) if (m & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
     return sorted(set(masks))
 
@@ -108,10 +113,12 @@ def first_masks(n_words: int, blocks: int, radius: int) -> list[tuple[int, int,
 
 
 def finer(word: int, block: int, mask: int, blocks: int, radius: int) -> list[int]:
-    """For a group that agrees on mask: masks that also fix some of the block's other bits; none when all are fixed."""
+    """For a group that agrees on mask: masks that also fix some of the block's other bits. None when at most
+    4 * (radius + 1) bits are free: further masks make ever more copies of rows that agree on most bits by now, and
+    a pair can differ in radius of them anyway. Such a group is compared whole."""
     size = 64 // blocks
     free = [i for i in range(block * size, (block + 1) * size) if not mask >> i & 1]
-    return [mask | m for m in block_masks(free, radius) if m] if free else []
+    return [mask | m for m in block_masks(free, radius)] if len(free) > 4 * (radius + 1) else []
 
 
 # ---------------------------------------------------------------- links
@@ -182,8 +189,8 @@ def links(prints: DataFrame, n_words: int, distance: int, radius: int, blocks: i
     of the links at distance or fewer bits, as far as the masks cover them: with blocks * n_words blocks of bits and a
     radius for each, all pairs at up to blocks * n_words * (radius + 1) - 1 bits.
 
-    A group of over limit fingerprints is dealt out by finer masks again and again, until it is small or all bits of its
-    block are fixed. So no group is compared whole while it can be split, and none is cut short.
+    A group of over limit fingerprints is dealt out by finer masks again and again, until it is small or few bits
+    of its block are free (see finer). So no group is compared whole while it can be split, and none is cut short.
     """
     spark = prints.sparkSession
     names = [f"w{i}" for i in range(n_words)]

@@ -299,6 +299,24 @@ def test_links_survive_splitting(spark):
     assert {k: v for k, v in got.items() if k != v} == want
 
 
+@pytest.mark.parametrize("radius", [3, 4])
+def test_finer_masks_keep_every_pair(radius):
+    """Each pair that a mask joins is also joined by one of its finer masks, down to groups that are compared whole."""
+    from itertools import combinations
+
+    for mask in simhash.block_masks(list(range(32)), radius):
+        level = [mask]
+        while level:
+            m = level.pop()
+            finer = [x for x in simhash.finer(0, 0, m, 2, radius) if x != m]
+            free = [b for b in range(32) if not m >> b & 1]
+            if not finer:
+                assert len(free) <= 4 * (radius + 1)
+                continue
+            assert all(any(not any(x >> b & 1 for b in apart) for x in finer) for apart in combinations(free, min(radius, len(free))))
+            level.append(finer[0])
+
+
 def test_components_of_chains_stars_and_a_hot_vertex(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 900)] + [(3000, 3001), (3001, 3000), (5, 5)]
     got = {r["vertex"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
