@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,13 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 #: Bytes of text that a task turns into Python words at once.
 TEXT_SLICE = 4 << 20
-#: A per-process word table starts anew beyond so many words.
+#: Bytes of text whose words go through Arrow at once: in more text, more words are seen before.
+ARROW_SLICE = 16 << 20
+#: A per-process word table starts anew, or loses its rarer half, beyond so many words or so many bytes of words.
 WORD_TABLE = 250_000
+WORD_BYTES = 32 << 20
+#: A longer word isn't kept when a table shrinks.
+LONG_WORD = 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,30 +72,51 @@ def slices(sizes: list[int], limit: int = TEXT_SLICE) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def text_sizes(column: pa.Array) -> list[int]:
+    """Bytes of each text; null: 0."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of a column of texts: (the place of each word among the different ones, these, where each
+    text's words start, with the end). Null: no words."""
+    split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    flat, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    whole = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text gives empty words
+    if not whole.all():
+        ends, flat = np.concatenate([[0], np.cumsum(whole)])[ends], flat.filter(pa.array(whole))
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, ends
+
+
 class WordHashes:
     """XXH64 of words as a numpy array. bytes.split() cuts at exactly [\\x20\\x09-\\x0D]+."""
 
     def __init__(self, seed: int = 0):
-        self.seed, self.known = seed, {}
+        self.seed, self.known, self.held = seed, {}, 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known, seed = self.known, self.seed
-        if len(known) > WORD_TABLE:
+        if len(known) > WORD_TABLE or self.held > WORD_BYTES:
             known.clear()
+            self.held = 0
         for word in set(words).difference(known):
             known[word] = xxhash.xxh64_intdigest(word, seed)
+            self.held += len(word)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 class LearnedIds:
-    """What each known string stands for: a run of ids. Past its limit only the half that was used most often stays."""
+    """What each known string stands for: a run of ids. Past its limits (strings, and characters of them) only short
+    strings stay, and of these the ones that were used most often, up to half of each limit."""
 
     def __init__(self, dtype, limit: int = WORD_TABLE):
-        self.limit = limit
+        self.limit, self.held = limit, 0
         self.place: dict = {}
         self.flat = np.empty(1 << 16, dtype)
         self.start = np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
 
     def _add(self, strings: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         used, first = int(self.start[-1]), len(self.uses)
@@ -99,6 +126,9 @@ class LearnedIds:
         self.place.update(zip(strings, range(first, first + len(strings)), strict=True))
         self.start = np.concatenate([self.start, used + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(strings), np.int64)])
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.held += int(lengths.sum())
 
     def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the runs one after another, where each starts, with the end)."""
@@ -107,8 +137,9 @@ class LearnedIds:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)], ends
 
-    def __call__(self, strings: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of strings. learn gives (ids one after another, number of ids of each) for strings not known yet."""
+    def __call__(self, strings: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of strings, or of strings[order]. learn gives (ids one after another, number of ids of each) for
+        strings not known yet."""
         places = np.fromiter(map(self.place.get, strings, repeat(-1)), np.int64, len(strings))
         lacking = np.flatnonzero(places < 0)
         if len(lacking):
@@ -116,19 +147,24 @@ class LearnedIds:
             new = list(dict.fromkeys(own))
             self._add(new, *learn(new))
             places[lacking] = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
+        if order is not None:
+            places = places[order]
         self.uses += np.bincount(places, minlength=len(self.uses))
         out = self.runs(places)
-        if len(self.place) > self.limit:
+        if len(self.place) > self.limit or self.held > WORD_BYTES:
             self._shrink()
         return out
 
     def _shrink(self) -> None:
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        kept = np.argsort(-self.uses, kind="stable")
+        kept = kept[self.lengths[kept] <= LONG_WORD]
+        kept = np.sort(kept[np.cumsum(self.lengths[kept]) <= WORD_BYTES // 2][: self.limit // 2])
         ids, ends = self.runs(kept)
         after = np.full(len(self.uses), -1)
         after[kept] = np.arange(len(kept))
         self.place = {x: a for x, a in zip(self.place, after[list(self.place.values())].tolist(), strict=True) if a >= 0}
-        self.flat, self.start, self.uses = ids, ends, self.uses[kept] // 2
+        self.flat, self.start, self.uses, self.lengths = ids, ends, self.uses[kept] // 2, self.lengths[kept]
+        self.held = int(self.lengths.sum())
 
 
 _per_process: dict = {}

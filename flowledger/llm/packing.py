@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, staged, text_bytes
+from .common import ARROW_SLICE, documents, slices, staged, text_sizes
 from .tokens import END_ID, tokenizer_path, word_tokenizer
 
 LENGTH = 2048
@@ -92,8 +92,8 @@ def _pack_texts(path: str, length: int, windows: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = word_tokenizer(path), Packer(_first_sequence(0), length, windows)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in slices([len(x) for x in texts]):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(text_sizes(texts), ARROW_SLICE):
                 ids, starts = tokenizer.encode_ended(texts[a:b], end_id)
                 for k in range(b - a):
                     packer.add(doc_ids[a + k], 0, int(starts[k + 1] - starts[k]), ids[starts[k] : starts[k + 1]])
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, windows
     while True:
         pass_number += 1
         tasks = -(-tasks // MERGED_TASKS)
-        rest = rest.repartition(tasks, "sequence_id") if tasks > 1 else rest.coalesce(1)
+        rest = rest.repartition(tasks, "sequence_id")
         rest = rest.mapInArrow(_pack_again(pass_number, length, windows, tasks == 1), PIECE)
         if tasks == 1:
             return reduce(DataFrame.unionByName, [*done, rest]).drop("open")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, id_or_last, partitions, shared_dir, slices, text_bytes
+from .common import ARROW_SLICE, documents, id_or_last, partitions, shared_dir, slices, text_sizes
 from .tokens import END_ID, tokenizer_path, word_tokenizer
 
 MARK, VERSION, BLOCK = b"PFOR", 1, 128
@@ -197,8 +197,8 @@ FILE = "part long, number long, first_id long, ids_in_file long, doc_ids binary,
 
 
 def _write_files(path: str, end_id: int, percentile: int, file_ids: int):
-    """Texts in order -> rows of files. part is the task, number counts its files; doc_ids are the documents' ids (int64),
-    which the file itself doesn't hold; the smallest integer stands for null."""
+    """Texts in order -> rows of files. part is the task, number counts its files; doc_ids are the documents' ids (int64,
+    then a bit for each, 0 for null), which the file itself doesn't hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -208,17 +208,18 @@ def _write_files(path: str, end_id: int, percentile: int, file_ids: int):
         held, sizes, doc_ids, n = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            own = np.array(doc_ids, np.int64)
+            own = pa.concat_arrays(doc_ids)
+            values, valid = own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False)
             data = encode_file(np.concatenate(held), np.concatenate(sizes), percentile)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, number, int(own[0]), n)] + [pa.array([own.tobytes()], pa.binary()), pa.array([data], pa.binary())], names=[x.split()[0] for x in FILE.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, number, own[0].as_py(), n)] + [pa.array([values.tobytes() + np.packbits(valid).tobytes()], pa.binary()), pa.array([data], pa.binary())], names=[x.split()[0] for x in FILE.split(", ")])
 
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in slices([len(x) for x in texts]):
+            own, texts = batch.column(0), batch.column(1)
+            for a, b in slices(text_sizes(texts), ARROW_SLICE):
                 ids, starts = tokenizer.encode_ended(texts[a:b], end_id)
                 held.append(ids)
                 sizes.append(np.diff(starts))
-                doc_ids += [-(2**63) if x is None else x for x in own[a:b]]
+                doc_ids.append(own[a:b])
                 n += len(ids)
                 if n >= file_ids:
                     yield row()
@@ -257,13 +258,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for at, own, data in zip(*(batch.column(x).to_pylist() for x in ("start", "doc_ids", "file")), strict=True):
                 file = TokenFile(data)
-                doc_ids = np.frombuffer(own, np.int64)
+                doc_ids = np.frombuffer(own, np.int64, len(file.sizes))
+                null = np.unpackbits(np.frombuffer(own, np.uint8, offset=doc_ids.nbytes))[: len(doc_ids)] == 0
                 ends = np.concatenate([[0], np.cumsum(file.sizes, dtype=np.int64)])
                 for a, b in slices(file.sizes.tolist(), 1 << 19):
                     ids = file.ids(int(ends[a]), int(ends[b])).astype("<u4")
                     cuts = ends[a : b + 1] - ends[a]
                     values = pa.array([ids[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64(), mask=doc_ids[a:b] == -(2**63)), pa.array(at + ends[a:b]), pa.array(file.sizes[a:b].astype(np.int64)), values], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64(), mask=null[a:b]), pa.array(at + ends[a:b]), pa.array(file.sizes[a:b].astype(np.int64)), values], names=["doc_id", "start", "n_tokens", "ids"])
 
     return files.join(starts, ["part", "number"]).select("start", "doc_ids", "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
