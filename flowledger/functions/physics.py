@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Water at 20 °C, gravity, IEC motor sizes in kW.
@@ -23,6 +23,7 @@ PUMP_TYPES = {
     "circulator": (50.0, 15.0, 0.05, 0.60),
     "industrial": (50000.0, 500.0, 0.50, 0.93),
 }
+DEFAULT_TYPE = "centrifugal_single"
 # Words of names that tell the type, in this order.
 TYPE_WORDS = {
     "submersible_drain": ["drain", "dw", "sewage", "грязев", "дренаж", "канализ", "фекал"],
@@ -41,41 +42,66 @@ def efficiency(q: Column, h: Column, p: Column) -> Column:
     return F.when((q > 0) & (h > 0) & (p > 0), hydraulic_kw(q, h) / p)
 
 
-def _sizes(sizes: list[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in sizes))
+def _search(sizes: list[float], fits) -> Column:
+    """The first size but the last for which fits(i) holds, else the last: a binary search as nested conditions, so that
+    Spark compares a row about log2(sizes) times. fits must stay true once it is."""
+    if len(sizes) == 1:
+        return F.lit(sizes[0])
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(sizes[low])
+        middle = (low + high) // 2
+        return F.when(fits(middle), part(low, middle)).otherwise(part(middle + 1, high))
+
+    return part(0, len(sizes) - 1)
 
 
 def nearest_size(p: Column, sizes: list[float] | None = None) -> Column:
-    """The nearest motor size, the smaller of two equally near."""
-    return F.array_min(F.transform(_sizes(sizes or IEC_KW), lambda s: F.struct(F.abs(s - p).alias("apart"), s.alias("size"))))["size"]
+    """The nearest motor size, the smaller of two equally near; null for null."""
+    own = sorted(sizes or IEC_KW)
+    return F.when(p.isNotNull(), _search(own, lambda i: p - own[i] <= F.lit(own[i + 1]) - p))
 
 
-def snap_power(p: Column, sizes: list[float] | None = None, low: float = 0.85, high: float = 1.15) -> Column:
-    """The nearest size where the power lies between low and high times it, else the power as it is."""
-    near = nearest_size(p, sizes)
+def snap_power(p: Column, sizes: list[float] | None = None, low: float = 0.85, high: float = 1.15, near: Column | None = None) -> Column:
+    """The nearest size where the power lies between low and high times it, else the power as it is. near: a column that
+    holds the nearest size already."""
+    near = nearest_size(p, sizes) if near is None else near
     return F.when((p > 0) & (p / near).between(low, high), near).otherwise(p)
 
 
 def estimate_power(q: Column, h: Column) -> Column:
     """Shaft power by a typical efficiency, rounded up to a motor size (the largest at most); 0 without flow or head."""
     shaft = hydraulic_kw(q, h) / F.when(q < 10, 0.55).when(q < 50, 0.65).otherwise(0.72)
-    up = F.coalesce(F.try_element_at(F.filter(_sizes(IEC_KW), lambda s: s >= shaft), F.lit(1)), F.lit(IEC_KW[-1]))
-    return F.when((q > 0) & (h > 0), up).otherwise(0.0)
+    return F.when((q > 0) & (h > 0), _search(IEC_KW, lambda i: F.lit(IEC_KW[i]) >= shaft)).otherwise(0.0)
+
+
+def _types(q: Column, h: Column, p: Column, model: Column, series: Column | None, stages: Column | None) -> list[tuple[Column, str]]:
+    """(condition, type): the first condition that holds tells the type, else it is DEFAULT_TYPE."""
+    name = F.lower(F.concat(F.coalesce(model, F.lit("")), F.lit(" "), F.coalesce(series, F.lit("")) if series is not None else F.lit("")))
+    out = [(name.rlike("|".join(map(re.escape, words))), kind) for kind, words in TYPE_WORDS.items()]
+    many = h > 200 if stages is None else (h > 200) | (stages > 5)
+    return [*out, ((h < 15) & (q < 50) & (p < 0.5), "circulator"), (many, "centrifugal_multi")]
+
+
+def _by_type(types: list[tuple[Column, str]], value) -> Column:
+    out = F.when(types[0][0], value(types[0][1]))
+    for condition, kind in types[1:]:
+        out = out.when(condition, value(kind))
+    return out.otherwise(value(DEFAULT_TYPE))
 
 
 def pump_type(q: Column, h: Column, p: Column, model: Column, series: Column | None = None, stages: Column | None = None) -> Column:
     """By words of the name, else by flow, head, power and stages."""
-    name = F.lower(F.concat(F.coalesce(model, F.lit("")), F.lit(" "), F.coalesce(series, F.lit("")) if series is not None else F.lit("")))
-    has = lambda words: F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(name, w)), True)
-    kind = None
-    for one, words in TYPE_WORDS.items():
-        kind = F.when(has(words), one) if kind is None else kind.when(has(words), one)
-    many = stages > 5 if stages is not None else F.lit(False)
-    return kind.when((h < 15) & (q < 50) & (p < 0.5), "circulator").when((h > 200) | many, "centrifugal_multi").otherwise("centrifugal_single")
+    return _by_type(_types(q, h, p, model, series, stages), lambda kind: kind)
+
 
+#: What PUMP_TYPES says of a type, in its order.
+_LIMITS = ("_q_max", "_h_max", "_eta_low", "_eta_high")
 
-def _rule(kind: Column, i: int) -> Column:
-    return F.create_map(*(F.lit(x) for x in chain.from_iterable((k, v[i]) for k, v in PUMP_TYPES.items())))[kind]
+
+def _limits(types: list[tuple[Column, str]]) -> dict[str, Column]:
+    return {name: _by_type(types, lambda kind, i=i: PUMP_TYPES[kind][i]) for i, name in enumerate(_LIMITS)}
 
 
 def curve_penalty(q_points: Column, h_points: Column) -> Column:
@@ -91,25 +117,48 @@ def curve_penalty(q_points: Column, h_points: Column) -> Column:
     return F.when((F.size(q_points) >= 3) & (F.size(h_points) >= 3), penalty).otherwise(0.0)
 
 
-def validate(q: Column, h: Column, p: Column, model: Column, series: Column | None = None, stages: Column | None = None, q_points: Column | None = None, h_points: Column | None = None) -> Column:
-    """struct(ok, reason, adjustment). Reasons are codes; the adjustment is what confidence loses."""
-    kind = pump_type(q, h, p, model, series, stages)
-    eta = efficiency(q, h, p)
-    reason = (
+def _reason(q: Column, h: Column, eta: Column, limits: dict[str, Column]) -> Column:
+    return (
         F.when(F.coalesce(q, F.lit(0.0)) <= 0, "no_flow")
         .when(h < 0, "negative_head")
-        .when(q > _rule(kind, 0) * 2, "flow_too_large")
-        .when(h > _rule(kind, 1) * 2, "head_too_large")
+        .when(q > limits["_q_max"] * 2, "flow_too_large")
+        .when(h > limits["_h_max"] * 2, "head_too_large")
         .when(eta > 0.96, "efficiency_impossible")
         .when(eta < 0.02, "efficiency_garbage")
         .otherwise("ok")
     )
-    by_eta = F.when(eta < _rule(kind, 2) * 0.5, -0.25).when(eta > _rule(kind, 3), -0.15).otherwise(0.0)
-    ratio = p / nearest_size(p)
+
+
+def _adjustment(p: Column, kind: Column, eta: Column, limits: dict[str, Column], near: Column, curve: Column | None) -> Column:
+    by_eta = F.when(eta < limits["_eta_low"] * 0.5, -0.25).when(eta > limits["_eta_high"], -0.15).otherwise(0.0)
+    ratio = p / near
     by_motor = F.when((kind != "circulator") & (p > 0) & ((ratio < 0.75) | (ratio > 1.35)), -0.1).otherwise(0.0)
-    total = by_eta + by_motor
-    if q_points is not None:
-        total = by_eta + curve_penalty(q_points, h_points) + by_motor
+    return by_eta + by_motor if curve is None else by_eta + curve + by_motor
+
+
+def with_checks(entries: DataFrame, q: str = "q_nom", h: str = "h_nom", p: str = "power_kw", model: str = "model", series: str | None = None, stages: str | None = None, curves: tuple[str, str] | None = None) -> DataFrame:
+    """entries with kind (pump type), eta, near_kw (nearest motor size), reason ('ok' or a code) and adjustment (what
+    confidence loses). Each is a column of its own, worked out once, since later ones use it many times."""
+    q, h, p, model = F.col(q), F.col(h), F.col(p), F.col(model)
+    types = _types(q, h, p, model, F.col(series) if series else None, F.col(stages) if stages else None)
+    out = entries.withColumns({"kind": _by_type(types, lambda kind: kind), "eta": efficiency(q, h, p), "near_kw": nearest_size(p)} | _limits(types))
+    limits, eta = {x: F.col(x) for x in _LIMITS}, F.col("eta")
+    loss = _adjustment(p, F.col("kind"), eta, limits, F.col("near_kw"), curve_penalty(*map(F.col, curves)) if curves else None)
+    usual = F.coalesce(eta.between(F.col("_eta_low"), F.col("_eta_high")), F.lit(False))
+    out = out.withColumns({"reason": _reason(q, h, eta, limits), "_loss": loss, "usual_eta": usual})
+    return out.withColumn("adjustment", F.when(F.col("reason") == "ok", F.col("_loss")).otherwise(0.0)).drop(*_LIMITS, "_loss")
+
+
+#: What with_checks adds.
+CHECKS = ("kind", "eta", "near_kw", "reason", "adjustment", "usual_eta")
+
+
+def validate(q: Column, h: Column, p: Column, model: Column, series: Column | None = None, stages: Column | None = None, q_points: Column | None = None, h_points: Column | None = None) -> Column:
+    """struct(ok, reason, adjustment) as one expression, for single uses; with_checks is the form for tables."""
+    types, eta = _types(q, h, p, model, series, stages), efficiency(q, h, p)
+    kind, limits = _by_type(types, lambda one: one), _limits(types)
+    reason = _reason(q, h, eta, limits)
+    total = _adjustment(p, kind, eta, limits, nearest_size(p), curve_penalty(q_points, h_points) if q_points is not None else None)
     return F.struct((reason == "ok").alias("ok"), reason.alias("reason"), F.when(reason == "ok", total).otherwise(0.0).alias("adjustment"))
 
 

@@ -25,11 +25,11 @@ def completeness(df: DataFrame) -> Column:
 
 
 def cross_page_merge(entries: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """One row for each model key: key, model, q_nom, h_nom, power_kw, rpm, confidence, n_pages, pages.
+    """One row for each model key: key, model, q_nom, h_nom, power_kw, rpm, confidence, n_pages (records merged).
 
     The records of a key are ranked by completeness, then by order; each field is the first known one in that rank, the
-    confidence is the greatest, pages lists the pages in rank order. Records without a key are dropped. Partial sums: the
-    fields are minima of (rank, value), so a hot key costs a row for each task and no sort of its records.
+    confidence is the greatest. Records without a key are dropped. Partial sums: the fields are minima of (rank, value), so
+    of a hot key each task sends one row on. The pages themselves are rows of merged_pages.
     """
     ranked = entries.withColumn("key", model_key(F.col("model"))).where("key <> ''")
     rank = F.struct((-half_up(completeness(entries), 6)).alias("lack"), *order)
@@ -39,10 +39,16 @@ def cross_page_merge(entries: DataFrame, order: tuple[str, ...] = ORDER) -> Data
         *(F.coalesce(first(x, F.col(x) > 0), F.lit(0)).cast(entries.schema[x].dataType).alias(x) for x in ("q_nom", "h_nom", "power_kw", "rpm")),
         F.max("confidence").alias("confidence"),
         F.count("*").alias("n_pages"),
-        F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("source_page").alias("page")))), lambda x: x["page"]).alias("pages"),
     )
 
 
+def merged_pages(entries: DataFrame, by: tuple[str, ...] = ("source_file", "source_page")) -> DataFrame:
+    """key, by, n: a row for each page that gave records to a model of two records or more, however many there are."""
+    pages = entries.withColumn("key", model_key(F.col("model"))).where("key <> ''").groupBy("key", *by).agg(F.count("*").alias("n"))
+    several = pages.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
+    return pages.join(several, "key", "left_semi")
+
+
 def first_per_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order. Groups are found by partial minima, not by sorting."""
     rest = [x for x in df.columns if x not in by]

@@ -34,7 +34,7 @@ DATA_TYPES = ["data_table", "model_range", "data_graph"]
 def keyword_score(text: Column, keywords: list[str]) -> Column:
     """How many different keywords a text has, in any case."""
     low = F.lower(text)
-    return F.size(F.filter(F.array(*map(F.lit, dict.fromkeys(k.lower() for k in keywords))), lambda k: F.contains(low, k)))
+    return sum((F.contains(low, F.lit(k)).cast("int") for k in dict.fromkeys(k.lower() for k in keywords)), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -17,18 +17,19 @@ def self_heal(entries: DataFrame) -> DataFrame:
     is symmetric in them, so that repair never applies.)"""
     q, h, p = F.col("q_nom"), F.col("h_nom"), F.col("power_kw")
     some = (q > 0) | (h > 0)
-    eta = physics.efficiency(q, h, p)
+    out = entries.withColumns({"_eta": physics.efficiency(q, h, p), "_eta_q": physics.efficiency(q * PER_MINUTE, h, p), "_eta_h": physics.efficiency(q, h * 10.2, p)})
     sound = lambda x: F.coalesce(x.between(0.10, 0.96), F.lit(False))
-    odd = some & (q > 0) & (p > 0) & ~sound(eta)
-    by_flow = odd & (q > 30) & (h > 0) & sound(physics.efficiency(q * PER_MINUTE, h, p))
-    by_head = odd & ~by_flow & (h > 0) & (h < 10) & sound(physics.efficiency(q, h * 10.2, p))
-    out = entries.withColumns({"_flow": by_flow, "_head": by_head})
+    odd = some & (q > 0) & (p > 0) & ~sound(F.col("_eta"))
+    by_flow = odd & (q > 30) & (h > 0) & sound(F.col("_eta_q"))
+    by_head = odd & ~by_flow & (h > 0) & (h < 10) & sound(F.col("_eta_h"))
+    out = out.withColumns({"_flow": by_flow, "_head": by_head})
     out = out.withColumns({"q_nom": F.when(F.col("_flow"), half_up(q * PER_MINUTE, 2)).otherwise(q), "h_nom": F.when(F.col("_head"), half_up(h * 10.2, 1)).otherwise(h)})
     out = out.withColumn("_power", (p <= 0) & (q > 0) & (h > 0)).withColumn("power_kw", F.when(F.col("_power"), physics.estimate_power(q, h)).otherwise(p))
-    out = out.withColumn("_snapped", F.when(some, physics.snap_power(p)).otherwise(p)).withColumn("_snap", F.col("_snapped") != p).withColumn("power_kw", F.col("_snapped"))
+    out = out.withColumn("_near", physics.nearest_size(p))
+    out = out.withColumn("_snapped", F.when(some, physics.snap_power(p, near=F.col("_near"))).otherwise(p)).withColumn("_snap", F.col("_snapped") != p).withColumn("power_kw", F.col("_snapped"))
     names = {"_flow": "flow_per_minute", "_head": "head_in_bar", "_power": "power_estimated", "_snap": "power_snapped"}
     fixes = F.array_compact(F.array(*(F.when(F.col(c), name) for c, name in names.items())))
-    return out.withColumn("fixes", fixes).drop(*names, "_snapped")
+    return out.withColumn("fixes", fixes).drop(*names, "_snapped", "_near", "_eta", "_eta_q", "_eta_h")
 
 
 def completeness_share(has_curve: Column | None = None, extra: dict[str, float] | None = None) -> Column:
@@ -49,18 +50,19 @@ def grounding(model: Column, text: Column) -> Column:
 
 def calibrate(entries: DataFrame, text: Column | None = None, healed: Column | None = None) -> DataFrame:
     """confidence from completeness .25, physics .30, grounding .20, motor size .10 and the former confidence .15; times
-    .90 when repaired; between .05 and .99, to three places."""
-    q, h, p, model = F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model")
-    check, kind, eta = physics.validate(q, h, p, model), physics.pump_type(q, h, p, model), physics.efficiency(q, h, p)
-    usual = F.coalesce(eta.between(physics._rule(kind, 2), physics._rule(kind, 3)), F.lit(False))
-    by_physics = F.when(q <= 0, 0.2).when(~check["ok"], 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.8) + check["adjustment"] + F.when(usual, 0.2).otherwise(0.0))))
-    ratio = p / physics.nearest_size(p)
-    by_motor = F.when(p <= 0, 0.5).when(p == physics.nearest_size(p), 1.0).when(ratio.between(0.95, 1.05), 0.9).when(ratio.between(0.85, 1.15), 0.7).when(ratio.between(0.75, 1.35), 0.5).otherwise(0.2)
+    .90 when repaired; between .05 and .99, to three places. Adds reason, what with_checks finds; a column of that name goes."""
+    q, p, model = F.col("q_nom"), F.col("power_kw"), F.col("model")
+    out = physics.with_checks(entries)
+    reward = F.lit(0.8) + F.col("adjustment") + F.when(F.col("usual_eta"), 0.2).otherwise(0.0)
+    out = out.withColumn("_ratio", p / F.col("near_kw")).withColumn("_reward", F.greatest(F.lit(0.0), F.least(F.lit(1.0), reward)))
+    by_physics = F.when(q <= 0, 0.2).when(F.col("reason") != "ok", 0.1).otherwise(F.col("_reward"))
+    ratio = F.col("_ratio")
+    by_motor = F.when(p <= 0, 0.5).when(p == F.col("near_kw"), 1.0).when(ratio.between(0.95, 1.05), 0.9).when(ratio.between(0.85, 1.15), 0.7).when(ratio.between(0.75, 1.35), 0.5).otherwise(0.2)
     ground = grounding(model, text) if text is not None else F.lit(0.5)
     total = completeness_share() * 0.25 + by_physics * 0.30 + ground * 0.20 + by_motor * 0.10 + F.least("confidence", F.lit(1.0)) * 0.15
     if healed is not None:
         total = total * F.when(healed, 0.90).otherwise(1.0)
-    return entries.withColumn("confidence", half_up(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 3))
+    return out.withColumn("confidence", half_up(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 3)).drop("_ratio", "_reward", *(x for x in physics.CHECKS if x != "reason"))
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, percents: list[int], least: int = 5) -> DataFrame:
@@ -121,14 +123,14 @@ GATES = ("min_models", "avg_confidence", "physics_rate", "low_conf_ratio", "cons
 
 def quality_gates(entries: DataFrame, catalog: str = "source_file", pages: str = "source_page") -> DataFrame:
     """A row for each catalogue and gate: gate, value, verdict (pass, warn or fail), and overall, the worst of the five."""
-    check = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))
+    entries = physics.with_checks(entries)
     positive = lambda x: F.when(F.col(x) > 0, F.col(x))
     spans = {x: F.when(F.count(positive(x)) >= 3, F.max(positive(x)) / F.min(positive(x))) for x in ("q_nom", "h_nom", "power_kw")}
     stats = entries.groupBy(catalog).agg(
         F.count("*").alias("n"),
         F.countDistinct(pages).alias("n_pages"),
         F.avg("confidence").alias("mean"),
-        F.avg(check["ok"].cast("double")).alias("rate"),
+        F.avg((F.col("reason") == "ok").cast("double")).alias("rate"),
         F.avg((F.col("confidence") < 0.4).cast("double")).alias("low"),
         *(c.alias(f"span_{x}") for x, c in spans.items()),
     )
@@ -152,9 +154,9 @@ def extraction_score(entries: DataFrame, by: list[str], grounded: Column | None
     2 for each curve (15 at most); to one place."""
     q, h, p = F.col("q_nom"), F.col("h_nom"), F.col("power_kw")
     share = lambda c: F.avg(c.cast("double"))
-    score = F.least(F.count("*"), F.lit(50)) * 0.5 + share((q > 0) & (h > 0) & (p > 0)) * 30 + share(physics.validate(q, h, p, F.col("model"))["ok"]) * 30
+    score = F.least(F.count("*"), F.lit(50)) * 0.5 + share((q > 0) & (h > 0) & (p > 0)) * 30 + share(F.col("reason") == "ok") * 30
     if grounded is not None:
         score = score + share(grounded) * 20
     if curves is not None:
         score = score + F.least(F.sum(curves.cast("int")) * 2, F.lit(15))
-    return entries.groupBy(*by).agg(F.count("*").alias("n"), half_up(score, 1).alias("score"))
+    return physics.with_checks(entries).groupBy(*by).agg(F.count("*").alias("n"), half_up(score, 1).alias("score"))

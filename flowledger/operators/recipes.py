@@ -37,9 +37,9 @@ def adjusted_confidence(confidence: Column, act: Column) -> Column:
 
 
 def _catalogues(entries: DataFrame) -> DataFrame:
-    ok = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))["ok"]
+    ok = F.col("reason") == "ok"
     low = F.min(F.when(F.col("q_nom") > 0, F.col("q_nom"))) * 0.8
-    return entries.groupBy("source_file").agg(
+    return physics.with_checks(entries).groupBy("source_file").agg(
         F.count("*").alias("n"), half_up(F.avg("confidence"), 9).alias("mean"), F.avg(ok.cast("double")).alias("rate"), F.concat_ws(",", F.sort_array(F.collect_set(series_of(F.col("model"))))).alias("series"), low.alias("q_low"), (F.max("q_nom") * 1.2).alias("q_high")
     )
 

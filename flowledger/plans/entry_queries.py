@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, physics
 from ..functions.numbers import half_up
 from ..operators import merge, quality, search
+from ..sources.staging import staged
 from . import oracle as O
 from .inputs import ENTRIES, OUTCOMES, SOURCES, entries, outcomes, sources, table
 from .registry import query
@@ -114,14 +115,12 @@ def _(spark, d):
 
 @query("v1_validate_physics", f"WITH {ENTRIES}, {O.checked()} SELECT seq, reason = 'ok' AS ok, reason, adjustment FROM checked")
 def _(spark, d):
-    check = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))
-    return entries(spark, d).select("seq", check.alias("c")).select("seq", "c.*")
+    return physics.with_checks(entries(spark, d)).select("seq", (F.col("reason") == "ok").alias("ok"), "reason", "adjustment")
 
 
 @query("g20_physics_rate", f"WITH {ENTRIES}, {O.checked()} SELECT source_file, {up("avg(CASE WHEN reason = 'ok' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 6)} AS rate FROM checked GROUP BY source_file")
 def _(spark, d):
-    ok = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))["ok"]
-    return entries(spark, d).groupBy("source_file").agg(half_up(F.avg(ok.cast("double")), 6).alias("rate"))
+    return physics.with_checks(entries(spark, d)).groupBy("source_file").agg(half_up(F.avg((F.col("reason") == "ok").cast("double")), 6).alias("rate"))
 
 
 HEALED = f"""h0 AS (SELECT *, {O.eta()} AS eta, {O.eta('q_nom * ' + repr(1 / 60) + '::DOUBLE')} AS eta_q, {O.eta(h='h_nom * 10.2::DOUBLE')} AS eta_h FROM entries),
@@ -161,7 +160,8 @@ def _(spark, d):
 
 @query("v7_gate_filter", f"WITH {ENTRIES}, {calibrated_sql('entries')} SELECT source_file, count(*) AS n_kept FROM calibrated WHERE confidence >= 0.7::DOUBLE GROUP BY source_file")
 def _(spark, d):
-    return quality.calibrate(entries(spark, d)).where("confidence >= 0.7D").groupBy("source_file").agg(F.count("*").alias("n_kept"))
+    # counted, not filtered: a filter would be worked into all expressions that make the confidence
+    return quality.calibrate(entries(spark, d)).groupBy("source_file").agg(F.count_if(F.col("confidence") >= 0.7).alias("n_kept")).where("n_kept > 0")
 
 
 @query(
@@ -189,8 +189,7 @@ def _(spark, d):
 
 @query("q6_physics_valid", f"WITH {ENTRIES}, {O.checked()} SELECT seq, model, confidence FROM checked WHERE reason = 'ok' AND confidence >= 0.6::DOUBLE")
 def _(spark, d):
-    ok = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))["ok"]
-    return entries(spark, d).where(ok & (F.col("confidence") >= 0.6)).select("seq", "model", "confidence")
+    return physics.with_checks(entries(spark, d).where("confidence >= 0.6D")).where("reason = 'ok'").select("seq", "model", "confidence")
 
 
 @query("q12_reset_impossible", f"WITH {ENTRIES}, x AS (SELECT *, q_nom > 45 OR h_nom > 100 OR power_kw > 15 AS wild, power_kw > 0 AND q_nom > 0 AND h_nom > 0 AND {O.hydraulic()} / power_kw > 3 AS odd FROM entries) SELECT seq, CASE WHEN wild OR odd THEN 0.0::DOUBLE ELSE q_nom END AS q_nom, CASE WHEN wild OR odd THEN 0.0::DOUBLE ELSE h_nom END AS h_nom, CASE WHEN wild THEN 0.0::DOUBLE ELSE power_kw END AS power_kw FROM x")
@@ -213,13 +212,18 @@ def merged_sql(source: str) -> str:
     first = lambda x, cond: f"arg_min({x}, r) FILTER ({cond})"
     return f"""m0 AS (SELECT *, {O.key()} AS key, row_number() OVER (PARTITION BY {O.key()} ORDER BY {up(score, 6)} DESC, {O.ORDER}) AS r FROM {source}),
 merged AS (SELECT key, {first("model", "true")} AS model, coalesce({first("q_nom", "q_nom > 0")}, 0.0::DOUBLE) AS q_nom, coalesce({first("h_nom", "h_nom > 0")}, 0.0::DOUBLE) AS h_nom,
-  coalesce({first("power_kw", "power_kw > 0")}, 0.0::DOUBLE) AS power_kw, coalesce({first("rpm", "rpm > 0")}, 0) AS rpm, max(confidence) AS confidence, count(*) AS n_pages, list(source_page ORDER BY r) AS pages
+  coalesce({first("power_kw", "power_kw > 0")}, 0.0::DOUBLE) AS power_kw, coalesce({first("rpm", "rpm > 0")}, 0) AS rpm, max(confidence) AS confidence, count(*) AS n_pages
   FROM m0 WHERE key <> '' GROUP BY key)"""
 
 
-@query("w3_cross_page_merge", f"WITH {ENTRIES}, {merged_sql('entries')} SELECT * EXCLUDE (pages), array_to_string(pages, ',') AS pages FROM merged")
+@query("w3_cross_page_merge", f"WITH {ENTRIES}, {merged_sql('entries')} SELECT * FROM merged")
 def _(spark, d):
-    return merge.cross_page_merge(entries(spark, d)).withColumn("pages", F.concat_ws(",", F.col("pages").cast("array<string>")))
+    return merge.cross_page_merge(entries(spark, d))
+
+
+@query("w3_merged_pages", f"WITH {ENTRIES}, p AS (SELECT {O.key()} AS key, source_file, source_page, count(*) AS n FROM entries GROUP BY ALL) SELECT key, source_file, source_page, n FROM p WHERE key <> '' AND key IN (SELECT key FROM p GROUP BY key HAVING sum(n) > 1)")
+def _(spark, d):
+    return merge.merged_pages(entries(spark, d))
 
 
 @query("w1_first_per_page", f"WITH {ENTRIES} SELECT source_file, source_page, name, seq, q_nom FROM (SELECT *, upper(model) AS name, row_number() OVER (PARTITION BY source_file, source_page, upper(model) ORDER BY {O.ORDER}) AS r FROM entries) WHERE r = 1")
@@ -505,8 +509,7 @@ def _(spark, d):
 
 @query("g9_top_warnings", f"WITH {ENTRIES}, {O.checked()} SELECT reason, count(*) AS n FROM checked WHERE reason <> 'ok' GROUP BY reason ORDER BY n DESC, reason LIMIT 10")
 def _(spark, d):
-    reason = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))["reason"]
-    return entries(spark, d).select(reason.alias("reason")).where("reason <> 'ok'").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(10)
+    return physics.with_checks(entries(spark, d)).groupBy("reason").agg(F.count("*").alias("n")).where("reason <> 'ok'").orderBy(F.desc("n"), "reason").limit(10)
 
 
 @query("g10_brands_index", "WITH b AS (SELECT p_brand AS brand, substr(p_type, 1, 2) AS series, count(*) AS n FROM part GROUP BY ALL) SELECT brand, sum(n)::BIGINT AS n_models, string_agg(concat(series, ':', n::varchar), ',' ORDER BY series <> 'PR', n DESC, series) AS series FROM b GROUP BY brand")
@@ -686,6 +689,6 @@ def _(spark, d):
 def flagship(spark, d):
     merged = merge.cross_page_merge(entries(spark, d)).where(~names.is_garbage(F.col("model")))
     healed = quality.self_heal(merged)
-    checked = quality.calibrate(healed, healed=F.size("fixes") > 0)
-    reason = physics.validate(F.col("q_nom"), F.col("h_nom"), F.col("power_kw"), F.col("model"))["reason"]
-    return checked.where("confidence >= 0.5D").select("key", "model", "q_nom", "h_nom", "power_kw", "rpm", "confidence", reason.alias("reason"))
+    # one row for each model: written and read again, so that the filter isn't worked into all expressions before it
+    checked = staged(quality.calibrate(healed, healed=F.size("fixes") > 0), "clean-models")
+    return checked.where("confidence >= 0.5D").select("key", "model", "q_nom", "h_nom", "power_kw", "rpm", "confidence", "reason")
