@@ -21,38 +21,16 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import id_or_last, partitions, slices, staged, text_bytes
 from .graph import connected_components, forest
+from .prints import majority_bits
 
 #: A group of more fingerprints than this is split by further masks.
 GROUP_LIMIT = 256
-LANES = np.uint64(0x0101010101010101)
 SIGN = 1 << 63
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def majority_bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run hashes[starts[i] : starts[i + 1]], the bits that are set in over half of it; empty runs: zero.
-
-    Bits are counted in eight byte lanes of an integer at once, so at most 255 hashes go into one sum.
-    """
-    n = len(starts) - 1
-    out = np.zeros(n, np.uint64)
-    counts = np.diff(starts)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    pieces = -(-counts[full] // 255)
-    first = np.repeat(starts[full], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    owner = np.cumsum(pieces) - pieces
-    for shift in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(shift)) & LANES, first)
-        sums = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
-        over = (2 * sums > counts[full][:, None]).astype(np.uint8)
-        out[full] |= np.ascontiguousarray(over).view(np.uint64).ravel() << np.uint64(shift)
-    return out
-
-
 def fingerprints(texts: list[bytes], width: int = 3, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
     """A row of fingerprint words for each text: SimHash of the XXH64 of its width-word shingles, one word for each seed.
 
@@ -268,14 +246,14 @@ def keep_one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     stays.
 
     Documents link where the sets of their shingles of width words have a Jaccard similarity of 0.8 or more. All such links are
-    found and each is held against the whole sets, see shingles. Fingerprints have no part in it: at 0.8 they
-    differ in 19 of 128 bits on average only, so any limit on the bits misses links or joins documents that aren't near.
+    found and each is held against the whole sets, see shingles: documents meet by covering masks of their fingerprints,
+    and, as fingerprints at 0.8 differ in a seventh of their bits on average, on shingles too.
     """
     key = {"_k": id_or_last(), "_t": F.xxhash64("text")}
     own = docs.withColumns(key)
     printed, classes = shingles.components(own.select("_k", "_t", "text"), width)
-    placed = printed.join(classes, "v")
-    kept = staged(placed.groupBy("component").agg(F.min(F.struct("_k", "_t")).alias("row")).select("row._k", "row._t"), "shingle-kept")
+    least = printed.groupBy("v").agg(F.min(F.struct("_k", "_t")).alias("row"))  # a row for each set, so many copies are no hot key
+    kept = staged(least.join(classes, "v").groupBy("component").agg(F.min("row").alias("row")).select("row._k", "row._t"), "shingle-kept")
     found = own.join(kept, ["_k", "_t"], "left_semi")
     if not printed.groupBy("_k", "_t").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["_k", "_t"])

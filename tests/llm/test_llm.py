@@ -603,10 +603,10 @@ def test_pipeline_stages(spark):
             good = {r["doc_id"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect() if r["kept"]}
             assert set(ids) == good
         elif name == "simhash_near_dedup":
-            prints = {i: (fingerprint(t, 5, 42), fingerprint(t, 5, 43)) for i, t in before.items()}
-            apart = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True))
-            assert all(apart(i, j) > 19 for i in ids for j in ids if i < j)
-            assert all(any(apart(i, j) <= 19 for j in before if j != i) for i in set(before) - set(ids))
+            sets = {i: shingle_set(t) for i, t in before.items()}
+            near = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            assert not any(near(i, j) for i in ids for j in ids if i < j)
+            assert all(any(near(i, j) for j in before if j != i) for i in set(before) - set(ids))
         elif name == "substring_dedup":
             want = {i: (n, digest) for i, _, n, digest in without_repeats(list(before.items()), 13)}
             for r in rows:
