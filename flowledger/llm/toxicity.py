@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, documents, struct_array, text_bytes
+from .common import WORD_TABLE, documents, staged, struct_array, text_bytes
 from .labelled import MAX_LABELLED, labelled_sample
 
 #: Bytes that end a word besides white space.
@@ -25,6 +25,8 @@ _BLANKED = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 
 #: Lengths of the word starts that are features.
 STARTS = (4, 6, 8)
+#: Most word starts of a model, and documents of the sample that must have one (fewer in a sample below 100).
+MAX_WORDS, LEAST_DOCUMENTS = 2000, 5
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -47,7 +49,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - signal[:, None], -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_words: int = 2000, least_documents: int = 5, l1: float = 3e-4, steps: int = 400) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_words: int = MAX_WORDS, least_documents: int = LEAST_DOCUMENTS, l1: float = 3e-4, steps: int = 400) -> OrdinalModel:
     """rows: the different hashes of word starts of each document. Keeps the max_words starts whose share of graded documents
     departs most from the mean, then fits weights and cuts by accelerated proximal gradient steps with an L1 penalty."""
     n, top = len(rows), int(grades.max()) if len(grades) else 0
@@ -107,10 +109,25 @@ def start_hash_column(text: str = "text"):
     return of(F.col(text))
 
 
+def _telling_words(sample: DataFrame, n: int, n_bad: int) -> np.ndarray:
+    """The word starts that fit_ordinal chooses, found by Spark: a bounded number."""
+    rate = n_bad / n
+    counts = sample.select(F.explode("features").alias("h"), (F.col("label") > 0).cast("int").alias("bad")).groupBy("h").agg(F.count("*").alias("c"), F.sum("bad").alias("b"))
+    z = (F.col("b") - F.col("c") * rate) / F.sqrt(F.col("c") * rate * (1 - rate) + 1e-9)
+    some = counts.where(F.col("c") >= min(LEAST_DOCUMENTS, max(1, n // 20))).orderBy(F.desc(F.abs(z)), F.col("h").bitwiseXOR(F.lit(-(2**63)))).limit(MAX_WORDS)
+    return np.array([r["h"] for r in some.select("h").collect()], np.int64)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
-    """Fitted on at most max_labelled labelled documents. Grades: 0 not toxic, 1 toxic, 2 toxic and of bad quality."""
+    """Fitted on at most max_labelled labelled documents. Grades: 0 not toxic, 1 toxic, 2 toxic and of bad quality. Spark
+    chooses the words, so that the driver gets no other of the sample's words."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    rows = labelled_sample(docs, labels, grade, start_hash_column(), max_labelled).toArrow().sort_by("doc_id")
+    sample = staged(labelled_sample(docs, labels, grade, start_hash_column(), max_labelled), "toxicity-sample")
+    size = sample.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("bad")).first()
+    if not size["bad"]:
+        return fit_ordinal([], np.empty(0, int))
+    chosen = F.lit(_telling_words(sample, size["n"], size["bad"]).tolist()).cast("array<bigint>")
+    rows = sample.select("doc_id", "label", F.array_intersect("features", chosen).alias("features")).toArrow().sort_by("doc_id")
     return fit_ordinal([x.values.to_numpy().view(np.uint64) for x in rows["features"]], rows["label"].to_numpy().astype(int))
 
 
@@ -121,7 +138,7 @@ def toxicity_column(model: OrdinalModel, threshold: float = 0.5, text: str = "te
     """
 
     places = {int(h): i for i, h in enumerate(model.words)}
-    known: dict[bytes, tuple] = {}  # word -> places of its starts among the model's, in each worker
+    known: dict[bytes, tuple] = {}  # word of bounded length -> places of its starts among the model's, in each worker
 
     @F.arrow_udf("struct<severity:double,p_toxic:double,toxic:boolean>")
     def of(column: pa.Array) -> pa.Array:
@@ -130,7 +147,7 @@ def toxicity_column(model: OrdinalModel, threshold: float = 0.5, text: str = "te
         for i, text in enumerate(texts):
             if len(known) > WORD_TABLE:
                 known.clear()
-            own = set(plain_words(text))
+            own = {word[: STARTS[-1]] for word in plain_words(text)}  # longer words have no further starts
             for word in own.difference(known):
                 hits = {places.get(xxhash.xxh64_intdigest(word[:k])) for k in STARTS}
                 known[word] = tuple(hits - {None})
