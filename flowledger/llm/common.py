@@ -19,7 +19,7 @@ NO_ID = 2**63 - 1
 #: Bytes of text that a task turns into Python words at once.
 TEXT_SLICE = 4 << 20
 #: Bytes of text whose words go through Arrow at once: in more text, more words are seen before.
-ARROW_SLICE = 16 << 20
+ARROW_SLICE = 12 << 20
 #: A per-process word table starts anew, or loses its rarer half, beyond so many words or so many bytes of words.
 WORD_TABLE = 250_000
 WORD_BYTES = 32 << 20

@@ -16,7 +16,7 @@ from .common import LearnedIds, per_process, split_words
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers.
-WORDS_KNOWN = 400_000
+WORDS_KNOWN = 300_000
 #: The id that ends each document.
 END_ID = 1
 
