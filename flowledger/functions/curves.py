@@ -73,9 +73,9 @@ def fix_flow(q: Column) -> Column:
 
 
 def is_ascending(x: Column, share: float = 0.7) -> Column:
-    """At least a share of the steps don't fall."""
-    n = F.size(x) - 1
-    return F.coalesce((n >= 1) & (n - _steps(x, False) >= n * share), F.lit(False))
+    """Three values or more, and steps that don't fall number at least a share of the values."""
+    n = F.size(x)
+    return F.coalesce((n >= 3) & (n - 1 - _steps(x, False) >= n * share), F.lit(False))
 
 
 def as_text(x: Column) -> Column:

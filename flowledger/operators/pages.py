@@ -263,3 +263,45 @@ def grounded(model: Column, values: list[Column], text: Column, tolerance: float
     by_name = F.when(named, 1.0).otherwise(0.5)
     by_value = F.when((known >= 2) & (hits == 0), 0.7).when((known > 0) & (hits < known), F.lit(0.7) + F.lit(0.3) * hits / known).otherwise(1.0)
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 1.0).otherwise(by_name * by_value)
+
+
+# Header words of lines that hold no flows, and the shape of a line with points.
+Q_SKIP = ("Таблица", "Модель", "кВт", "Характеристик")
+POINT_LINE = r"^(\d+[-−]\S+)\s+(\d+[.,]?\d*)\s+(.+)$"
+LIST_LINE = r"(?m)(?:^\d+\s*[.)]\s*)?([A-ZА-ЯЁ][A-ZА-ЯЁa-zа-яё()]{1,10}[ \-_]?\d[\d/\-_.a-zA-Zа-яА-ЯёЁ() ]{0,30}?)[ ]+([\d,.]+)[ ]+([\d,.]+)(?:[ ]+([\d,.]+))?(?:[ ]+([\d,.]+))?"
+
+
+def q_values(pages: DataFrame, text: str = "text", least: int = 2, most: float = 500.0, skip: tuple[str, ...] = Q_SKIP) -> DataFrame:
+    """The page's columns, line_no and q: the first line without a header word that has so many numbers from 0 to most."""
+    keys = [x for x in pages.columns if x != text]
+    own = lines(pages, text)
+    for word in skip:
+        own = own.where(~F.contains("line", F.lit(word)))
+    numbers = F.filter(F.transform(F.split(F.trim("line"), r"\s+"), lambda w: F.when(w.rlike(r"^\d+([.,]\d+)?$"), F.translate(w, ",", ".").try_cast("double"))), lambda x: x.isNotNull() & (x <= most))
+    found = own.withColumn("q", numbers).where(F.size("q") >= least)
+    return found.groupBy(*keys).agg(F.min(F.struct("line_no", "q")).alias("b")).select(*keys, "b.line_no", "b.q")
+
+
+def line_points(rows: DataFrame, line: str, q: str, most_kw: float = 500.0, most_head: float = 600.0) -> DataFrame:
+    """'id kW h1 h2 ..' lines with their flows (array) to a row for each point: id, kw, q, h. Heads outside 0 to most_head
+    are passed over before they meet the flows; lines of another shape or power give none."""
+    part = lambda i: F.regexp_extract(F.trim(line), POINT_LINE, i)
+    keys = [x for x in rows.columns if x not in (line, q)]
+    heads = F.filter(F.transform(F.split(part(3), r"\s+"), parse_number), lambda h: (h > 0) & (h < most_head))
+    own = rows.select(*keys, F.translate(part(1), "−З", "-3").alias("id"), parse_number(part(2)).alias("kw"), heads.alias("_h"), F.col(q).alias("_q")).where((F.col("id") != "") & (F.col("kw") > 0) & (F.col("kw") <= most_kw))
+    n = F.least(F.size("_h"), F.size("_q"))
+    points = own.select(*keys, "id", "kw", F.inline(F.arrays_zip(F.slice("_q", 1, n).alias("q"), F.slice("_h", 1, n).alias("h"))))
+    return points.withColumn("h", F.floor(F.col("h") * 10 + 0.5) / 10)
+
+
+def list_records(pages: DataFrame, text: str = "text", most_q: float = 10000.0, most_h: float = 1000.0) -> DataFrame:
+    """'Model Q H [speed] [power]' lines: model, q, h, rpm (0 without) and p (0 without). A third number from 800 to 3600 is
+    the speed, any other the power."""
+    found = records(pages, LIST_LINE, ["model", "a", "b", "c", "d"], text)
+    third, fourth = parse_number(F.col("c")), parse_number(F.col("d"))
+    speed = third.between(800, 3600)
+    out = found.withColumns({
+        "model": F.trim(F.regexp_replace("model", r"\s+", " ")), "q": parse_number(F.col("a")), "h": parse_number(F.col("b")),
+        "rpm": F.when(speed, third.cast("int")).otherwise(0), "p": F.coalesce(F.when(speed, fourth).otherwise(third), F.lit(0.0)),
+    })
+    return out.where((F.length("model") >= 3) & (F.col("q") > 0) & (F.col("h") > 0) & (F.col("q") <= most_q) & (F.col("h") <= most_h)).drop("a", "b", "c", "d")

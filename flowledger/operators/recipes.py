@@ -61,18 +61,34 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-def match(catalogues: DataFrame, recipes: DataFrame, least: float = 50.0) -> DataFrame:
+#: Most words of all recipes together that are broadcast to the pages.
+MAX_TERMS = 100_000
+
+
+def match(pages: DataFrame, recipes: DataFrame, least: float = 50.0) -> DataFrame:
     """The best recipe of each catalogue that reaches the least score, the smaller id among equals.
 
-    catalogues: source_file, text. recipes: recipe_id, file_pattern, keywords (array), signatures (array), confidence,
-    failures. A recipe is a row of a small table that is compared with each catalogue; it is broadcast where Spark finds
-    it small enough.
+    pages: source_file, text, a row for each page. recipes: recipe_id, file_pattern, keywords (array), signatures (array),
+    confidence, failures and, if known, producer: 100 for the file name, 50 for each keyword, 30 for each signature and 20
+    for the producer that any page has. Pages are held against the recipes' words one by one and only the words found go
+    on, so no catalogue's text is joined. The words are broadcast, MAX_TERMS at most; more are an error.
     """
-    low = F.lower("text")
-    hits = lambda c: F.size(F.filter(F.col(c), lambda w: F.contains(low, F.lower(w))))
-    score = F.when(F.regexp_like(F.lower("source_file"), glob_regex(F.col("file_pattern"))), 100).otherwise(0) + 50 * hits("keywords") + 30 * hits("signatures")
-    score = score * F.when(F.col("failures") >= 3, 0.3).when(F.col("failures") >= 2, 0.6).otherwise(1.0) * (F.lit(0.5) + F.col("confidence") * 0.5)
-    scored = catalogues.crossJoin(recipes).select("source_file", "recipe_id", score.alias("score")).where(F.col("score") >= least)
+    term = lambda column, points: recipes.select("recipe_id", F.explode(column).alias("term"), F.lit(points).alias("points"))
+    terms = term("keywords", 50).union(term("signatures", 30))
+    if "producer" in recipes.columns:
+        terms = terms.union(term(F.array("producer"), 20))
+    terms = terms.select("recipe_id", F.lower("term").alias("term"), "points").where("term <> ''")
+    if terms.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        raise ValueError(f"recipes have over {MAX_TERMS} words")
+    words = F.broadcast(terms.select("term").distinct())
+    found = pages.select("source_file", F.lower("text").alias("_low")).join(words, F.contains("_low", "term")).select("source_file", "term").distinct()
+    by_text = found.join(F.broadcast(terms), "term").groupBy("source_file", "recipe_id").agg(F.sum("points").alias("t"))
+    files = pages.select("source_file").distinct()
+    small = F.broadcast(recipes.select("recipe_id", "file_pattern"))
+    by_name = files.join(small, F.regexp_like(F.lower("source_file"), glob_regex(F.col("file_pattern")))).select("source_file", "recipe_id", F.lit(100).alias("f"))
+    both = by_text.join(by_name, ["source_file", "recipe_id"], "full").join(F.broadcast(recipes.select("recipe_id", "failures", "confidence")), "recipe_id")
+    score = (F.coalesce("t", F.lit(0)) + F.coalesce("f", F.lit(0))) * F.when(F.col("failures") >= 3, 0.3).when(F.col("failures") >= 2, 0.6).otherwise(1.0) * (F.lit(0.5) + F.col("confidence") * 0.5)
+    scored = both.select("source_file", "recipe_id", score.alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("source_file").agg(F.min(F.struct((-F.col("score")).alias("s"), "recipe_id")).alias("b"))
     return best.select("source_file", "b.recipe_id", (-F.col("b.s")).alias("score"))
 

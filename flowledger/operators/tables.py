@@ -11,7 +11,10 @@ from ..functions.units import convert
 
 # Header words of each field, in the order in which equal scores are settled.
 HEADER_WORDS = {
-    "model": ["модель", "наименование", "тип насоса", "model", "type", "pump model", "modell", "typ", "modello", "modèle", "modelo"],
+    "model": [
+        "модель", "тип", "насос", "наименование", "обозначение", "марка", "model", "type", "pump", "designation", "name", "item", "modell", "typ", "pumpe", "bezeichnung", "baureihe",
+        "modello", "tipo", "pompa", "denominazione", "modèle", "pompe", "désignation", "modelo", "bomba", "denominación",
+    ],
     "article": ["артикул", "код", "article", "code", "part number", "artikel", "codice", "référence"],
     "q_nom": ["подача", "расход", "производительность", "flow", "capacity", "delivery", "förderstrom", "portata", "débit", "caudal"],
     "h_nom": ["напор", "head", "förderhöhe", "prevalenza", "hauteur", "altura"],
@@ -26,6 +29,9 @@ HEADER_WORDS = {
 SYMBOLS = {"q_nom": "Q", "h_nom": "H", "power_kw": "P"}
 DIMENSIONS = ["b", "l", "d", "a", "h1", "h2", "b1", "b2", "l1", "l2", "d1", "d2", "a1", "a2"]
 NEGATIVE = ["npsh", "кавитац", "габарит", "dimension", "abmessung", "installation", "установк", "монтаж", "spare", "запчаст", "accessories", "принадлежност", "zubehör"]
+# Shapes of model names, and of values that are none (article, voltage, flange, classes, sizes, duty, share).
+POSITIVE_SHAPES = r"[A-ZА-ЯЁ]{2,}[\s\-]?\d+|[A-Z]{1,5}\d{1,3}[\-/]\d{1,3}|[A-Z]{2,}\s+\d+[\-/]\d+[\-/]\d+"
+NEGATIVE_SHAPES = r"^(\d{6,10}$|[123]~\s?\d{3}\s?V|DN\s?\d+$|IE[1-5]$|IP\s?\d{2}$|[A-F]$|\d+\s*(кг|kg|мм|mm|°C)$|(S1|S2|S3|S6)$|\d+(\.\d+)?\s*%$)"
 RPM_VALUES = [720, 960, 970, 980, 1450, 1475, 1480, 2850, 2900, 2950, 2960, 2970, 3500]
 MODEL_TEXT = r"^[A-ZА-ЯЁ][A-Za-zА-Яа-яЁё]*[\s\-_]?\d"
 
@@ -55,11 +61,12 @@ def infer_from_values(cells: DataFrame, rpm_values: list[int] = RPM_VALUES) -> D
     filled = F.count_if(text != "")
     numeric = F.count_if(number.isNotNull())
     words = filled - numeric
-    positive = F.count_if(number.isNull() & text.rlike(MODEL_TEXT))
+    positive = F.count_if(number.isNull() & text.rlike(POSITIVE_SHAPES))
+    negative = F.count_if(number.isNull() & text.rlike(NEGATIVE_SHAPES))
     articles = F.count_if(text.rlike(r"^\d{5,12}$"))
     speeds = F.count_if(number.isin([float(x) for x in rpm_values]))
     field = (
-        F.when((numeric / filled < 0.5) & (words >= 2) & (positive > words * 0.3), "model")
+        F.when((numeric / filled < 0.5) & (words >= 2) & (positive > words * 0.3) & (negative < words * 0.5), "model")
         .when((numeric / filled > 0.8) & (numeric >= 2) & (articles > F.count("*") * 0.7), "article")
         .when((numeric / filled > 0.7) & (numeric >= 2) & (speeds > numeric * 0.8), "rpm")
     )

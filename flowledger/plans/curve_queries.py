@@ -104,7 +104,7 @@ def _(spark, d):
     return curve_ops.drop_jumps(curve_points(spark, d), "model_id", share=10)
 
 
-@query("w14_ascending_run", f"{CURVES} SELECT model_id, len(hs) >= 2 AND len(list_filter(range(1, len(hs)), lambda i: hs[i + 1] >= hs[i])) >= (len(hs) - 1) * 0.7::DOUBLE AS ascending FROM curves")
+@query("w14_ascending_run", f"{CURVES} SELECT model_id, len(hs) >= 3 AND len(list_filter(range(1, len(hs)), lambda i: hs[i + 1] >= hs[i])) >= len(hs) * 0.7::DOUBLE AS ascending FROM curves")
 def _(spark, d):
     return curves(spark, d).select("model_id", C.is_ascending(F.col("h_points")).alias("ascending"))
 

@@ -230,12 +230,11 @@ def _(spark, d):
     return pages(spark, d).select("page_num", P.grounded(model, [(F.col("page_num") % 40).cast("double")], F.col("text")).alias("factor"))
 
 
-@query("j17_recipe_match", f"WITH {PAGES}, w AS (SELECT source_file, lower(string_agg(text, ' ' ORDER BY page_num)) AS t FROM pages_in WHERE page_num < 300 GROUP BY source_file), r AS (SELECT * FROM (VALUES ('r1', 'src1%', 'keit', 0.9, 0), ('r2', 'src2%', 'ción', 0.5, 2), ('r3', 'none', 'the', 0.7, 0)) v(recipe_id, pat, kw, confidence, failures)), s AS (SELECT source_file, recipe_id, (CASE WHEN source_file LIKE pat THEN 100 ELSE 0 END + CASE WHEN contains(t, kw) THEN 50 ELSE 0 END) * CASE WHEN failures >= 3 THEN 0.3::DOUBLE WHEN failures >= 2 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * (0.5::DOUBLE + confidence::DOUBLE * 0.5::DOUBLE) AS score FROM w, r) SELECT source_file, recipe_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, recipe_id) AS k FROM s WHERE score >= 40) WHERE k = 1")
+@query("j17_recipe_match", f"WITH {PAGES}, w AS (SELECT source_file, lower(string_agg(text, ' ' ORDER BY page_num)) AS t FROM pages_in GROUP BY source_file), r AS (SELECT * FROM (VALUES ('r1', 'src1%', 'keit', 0.9, 0), ('r2', 'src2%', 'ción', 0.5, 2), ('r3', 'none', 'the', 0.7, 0)) v(recipe_id, pat, kw, confidence, failures)), s AS (SELECT source_file, recipe_id, (CASE WHEN source_file LIKE pat THEN 100 ELSE 0 END + CASE WHEN contains(t, kw) THEN 50 ELSE 0 END) * CASE WHEN failures >= 3 THEN 0.3::DOUBLE WHEN failures >= 2 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * (0.5::DOUBLE + confidence::DOUBLE * 0.5::DOUBLE) AS score FROM w, r) SELECT source_file, recipe_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, recipe_id) AS k FROM s WHERE score >= 40) WHERE k = 1")
 def _(spark, d):
     own = [("r1", "src1*", ["keit"], [], 0.9, 0), ("r2", "src2*", ["ción"], [], 0.5, 2), ("r3", "none", ["the"], [], 0.7, 0)]
     rows = spark.createDataFrame(own, "recipe_id string, file_pattern string, keywords array<string>, signatures array<string>, confidence double, failures int")
-    whole = pages(spark, d).where("page_num < 300").groupBy("source_file").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda x: x["text"])).alias("text"))
-    return recipes.match(whole, rows, least=40.0)
+    return recipes.match(pages(spark, d), rows, least=40.0)
 
 
 @query("q14_page_worklist", f"WITH {PAGES} SELECT source_file, page_num, CASE WHEN regexp_matches(text, '[0-9]') AND contains(text, ' | ') THEN 'validate' WHEN contains(text, ' | ') THEN 'extract' END AS task FROM pages_in WHERE contains(text, ' | ')")

@@ -81,10 +81,10 @@ def _(spark, d):
     return rows.select("table_id", "col_id", unit_in(F.col("text"), "q").alias("unit")).where("unit IS NOT NULL")
 
 
-@query("t5_infer_from_values", "SELECT s_suppkey AS table_id, c AS col_id, ['model', 'article', 'rpm', NULL][c + 1] AS field FROM supplier, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS c) WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+@query("t5_infer_from_values", "SELECT s_suppkey AS table_id, c AS col_id, ['model', 'article', 'rpm', NULL, NULL][c + 1] AS field FROM supplier, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS c) WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
 def _(spark, d):
     line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_partkey").alias("row_id"), "l_linenumber")
-    texts = F.array(F.concat(F.lit("CDM "), F.col("row_id").cast("string")), F.lpad(F.col("row_id").cast("string"), 8, "1"), F.when(F.col("l_linenumber") % 2 == 0, "2900").otherwise("1450"), F.concat("l_linenumber", F.lit(",5")))
+    texts = F.array(F.concat(F.lit("CDM "), F.col("row_id").cast("string")), F.lpad(F.col("row_id").cast("string"), 8, "1"), F.when(F.col("l_linenumber") % 2 == 0, "2900").otherwise("1450"), F.concat("l_linenumber", F.lit(",5")), F.concat(F.lit("DN "), "l_linenumber"))
     return T.infer_from_values(line.select("table_id", "row_id", F.posexplode(texts).alias("col_id", "text")))
 
 
