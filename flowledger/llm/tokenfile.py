@@ -215,7 +215,7 @@ def _write_files(path: str, end_id: int, percentile: int, file_ids: int):
 
         for batch in batches:
             own, texts = batch.column(0), batch.column(1)
-            for a, b in slices(text_sizes(texts), ARROW_SLICE):
+            for a, b in slices(text_sizes(texts), 2 * ARROW_SLICE):
                 ids, starts = tokenizer.encode_ended(texts[a:b], end_id)
                 held.append(ids)
                 sizes.append(np.diff(starts))
