@@ -2,101 +2,121 @@
 
 Words fall into classes: the most frequent words of the corpus have one each, the others share one for each shape. The
 network sees the classes left and right of a masked word, joins their vectors in a hidden layer, and gives each class a
-probability: softmax(tanh(left[l] + right[r] + b) @ out + c). A document's score is the sum of the log-probabilities of
-all its words' classes, each predicted from both sides.
+probability: softmax(tanh(left[l] + right[r] + b) @ out + c). Within its class a word has the share of its count in the
+corpus, so every word is predicted and the vocabulary grows with the corpus. A document's score is the sum of
 
-The corpus is counted in full: first its words, then every (left, class, right). The counts are what the network is
-trained on, so each training step is the exact gradient over all documents; Spark tasks work out parts of it in numpy.
+    log P(class of the word | classes left and right) + log P(word | its class)
+
+over all its words. The corpus is counted in full: first its words, which stay a table, then every (left, class, right).
+The counts are what the network is trained on, so each training step is the exact gradient over all documents; Spark
+tasks work out parts of it in numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, documents, partitions, per_process, slices, staged, struct_array, text_bytes
+from .common import ARROW_SLICE, documents, partitions, per_process, slices, split_words, staged, text_sizes
 
 #: Classes with the boundary (0, only ever seen as a neighbour) and SHAPES shape classes; the rest are words.
 CLASSES, SHAPES = 256, 15
 HIDDEN, ROUNDS, RATE = 32, 40, 0.08
 #: Parts of the counts. The table has at most CLASSES**3 counts, so their number needn't grow.
-BUCKETS, TRAINERS = 64, 8
+BUCKETS, TRAINERS = 1024, 8
 #: Windows that a task counts at once.
 HELD_WINDOWS = 4 << 20
 
-_UPPER, _LOWER, _DIGIT = (frozenset(x) for x in (range(65, 91), (*range(97, 123), *range(128, 256)), range(48, 58)))
-
-
-def shape_class(word: bytes) -> int:
-    """1 to 15: lower case, capitalised, upper case, with digits, other; times up to 4 bytes, up to 8, longer."""
-    chars = set(word)
-    if chars & _DIGIT:
-        kind = 3
-    elif chars <= _LOWER:
-        kind = 0
-    elif chars <= _UPPER:
-        kind = 2
-    elif word[0] in _UPPER and set(word[1:]) <= _LOWER:
-        kind = 1
-    else:
-        kind = 4
-    return 1 + 3 * kind + (len(word) > 4) + (len(word) > 8)
+_UPPER, _LOWER, _DIGIT, _OTHER = 1, 2, 4, 8
+_KIND_OF_BYTE = np.full(256, _OTHER, np.uint8)
+_KIND_OF_BYTE[65:91] = _UPPER
+_KIND_OF_BYTE[97:123] = _KIND_OF_BYTE[128:] = _LOWER
+_KIND_OF_BYTE[48:58] = _DIGIT
+
+
+def shape_classes(words: pa.Array) -> np.ndarray:
+    """1 to 15 for each word: lower case, capitalised, upper case, with digits, other; times up to 4 bytes, up to 8, longer."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    words = words.cast(pa.binary() if pa.types.is_string(words.type) else pa.large_binary())
+    width = np.int32 if pa.types.is_binary(words.type) else np.int64
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, width)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    kinds = _KIND_OF_BYTE[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    whole, first = np.bitwise_or.reduceat(kinds, starts), kinds[starts]
+    kinds[starts] = 0
+    rest = np.bitwise_or.reduceat(kinds, starts)
+    kind = np.select([whole & _DIGIT > 0, whole == _LOWER, whole == _UPPER, (first == _UPPER) & (rest == _LOWER)], [3, 0, 2, 1], 4)
+    return (1 + 3 * kind + (sizes > 4) + (sizes > 8)).astype(np.int32)
 
 
 class WordClasses:
     def __init__(self, vocabulary: list[bytes]):
-        self.fixed = {w: 1 + SHAPES + i for i, w in enumerate(vocabulary)}
-        self.known: dict[bytes, int] = {}
-
-    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts left * CLASSES + right, classes, words of each text) of all words of the texts."""
-        if len(self.known) > WORD_TABLE:
-            self.known.clear()
-        known, words, sizes = self.known, [b""], []
-        for text in texts:
-            own = text.split()
-            words += own
-            words.append(b"")  # the boundary
-            sizes.append(len(own))
-        known[b""] = 0
-        for word in set(words).difference(known):
-            known[word] = self.fixed.get(word) or shape_class(word)
-        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        at = np.flatnonzero(ids)
-        return ids[at - 1] * CLASSES + ids[at + 1], ids[at], np.array(sizes)
+        self.fixed = pa.array(vocabulary, pa.large_binary())
 
+    def of(self, words: pa.Array) -> np.ndarray:
+        fixed = pc.index_in(words.cast(pa.large_binary()), value_set=self.fixed).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.where(fixed < 0, shape_classes(words), 1 + SHAPES + fixed).astype(np.int32)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
 
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
+class Windows:
+    """All words of some texts: contexts (left * CLASSES + right), classes, and which text each word is of."""
+
+    def __init__(self, column: pa.Array, classes: WordClasses):
+        self.places, self.words, ends = split_words(column)
+        self.sizes = np.diff(ends)
+        self.of_words = classes.of(self.words)
+        self.classes = self.of_words[self.places]
+        self.texts = np.repeat(np.arange(len(column)), self.sizes)
+        with_bounds = np.zeros(len(self.classes) + len(column) + 1, np.int32)
+        at = np.arange(len(self.classes)) + self.texts + 1
+        with_bounds[at] = self.classes
+        self.contexts = with_bounds[at - 1] * CLASSES + with_bounds[at + 1]
+
+
+def _text_slices(column: pa.Array) -> Iterator[pa.Array]:
+    for a, b in slices(text_sizes(column), ARROW_SLICE):
+        yield column.slice(a, b - a)
 
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = text_bytes(batch.column(0))
-        for a, b in slices([len(x) for x in texts]):
-            for text in texts[a:b]:
-                counts.update(text.split())
-            if len(counts) > WORD_TABLE:
-                yield rows()
-    yield rows()
-
-
-def vocabulary(docs: DataFrame, size: int = CLASSES - 1 - SHAPES) -> list[bytes]:
-    """The most frequent words of all documents, ties in byte order: size words at most, so few enough for the driver."""
-    counts = docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for column in _text_slices(batch.column(0)):
+            places, words, _ = split_words(column)
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(places, minlength=len(words)).astype(np.int64))], names=["word", "n"])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word occurs in all documents."""
+    return docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, size: int = CLASSES - 1 - SHAPES) -> list[bytes]:
+    """The most frequent words of word_counts, ties in byte order: size words at most, so few enough for the driver."""
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
+def class_sizes(counts: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrences, different words) of each class: CLASSES numbers each."""
+
+    @F.arrow_udf("int")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array(per_process("lm", tuple(words), lambda: WordClasses(words)).of(column))
+
+    seen, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in counts.groupBy(of("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        seen[r["c"]], kinds[r["c"]] = r["n"], r["k"]
+    return seen, kinds
+
+
 def _count_windows(words: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = per_process("lm", tuple(words), lambda: WordClasses(words))
@@ -113,11 +133,10 @@ def _count_windows(words: list[bytes]):
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cut(codes), cut(counts)], names=["bucket", "codes", "counts"])
 
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in slices([len(x) for x in texts]):
-                contexts, own, _ = classes.windows(texts[a:b])
-                held.append(contexts * CLASSES + own)
-                n += len(own)
+            for column in _text_slices(batch.column(0)):
+                own = Windows(column, classes)
+                held.append(own.contexts * CLASSES + own.classes)
+                n += len(own.classes)
                 if n >= HELD_WINDOWS:
                     yield rows()
                     held, n = [], 0
@@ -214,10 +233,27 @@ def _gradients(network: WindowNetwork):
     return run
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: float = RATE, seed: int = 7) -> tuple[WindowNetwork, list[float]]:
-    """The network, and the mean negative log-likelihood of a word before each round. Adam steps on the gradient over all
-    documents; a round's parts come to the driver as TRAINERS rows of the network's size."""
-    words = vocabulary(docs)
+@dataclass
+class LanguageModel:
+    """The network, the table of word_counts, and the occurrences and different words of each class."""
+
+    network: WindowNetwork
+    counts: DataFrame
+    seen: np.ndarray
+    kinds: np.ndarray
+
+    def word_log_probability(self, n, word_class):
+        """Column of log P(word | class) from a word's count (null: not in the corpus) and shape class. One occurrence more
+        than it has different words is a class's share for all that the corpus lacks."""
+        per_class = lambda x: F.element_at(F.array(*(F.lit(float(k)) for k in x[1 : 1 + SHAPES])), word_class)
+        return F.log(F.coalesce(n.cast("double"), per_class(self.kinds + 1)) / per_class(self.seen + self.kinds + 1))
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: float = RATE, seed: int = 7) -> tuple[LanguageModel, list[float]]:
+    """The model, and the mean negative log-likelihood of a word's class before each round. Adam steps on the gradient
+    over all documents; a round's parts come to the driver as TRAINERS rows of the network's size."""
+    known = staged(word_counts(docs), "words")
+    words = vocabulary(known)
     counts = staged(window_counts(docs, words).repartition(TRAINERS, "bucket"), "windows")
     counts = counts.coalesce(TRAINERS)
     draw = np.random.default_rng(seed)
@@ -238,38 +274,97 @@ def train(docs: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: flo
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return network, losses
+    return LanguageModel(network, known, *class_sizes(known, words)), losses
 
 
-def likelihood_column(network: WindowNetwork, text: str = "text"):
-    """A struct: n_words, log_likelihood (summed over all words, each from both sides) and mean_log_prob (null without
-    words). Null and empty texts have no words and log-likelihood 0. Whole texts count."""
-    key = network.key()
+def _requests(network: WindowNetwork, key: str, id_type: pa.DataType):
+    """Texts -> rows of slices of texts: one with the documents of the slice and their sums of log P(class | both sides),
+    under a key that is no word (it has a space), and one for each word of a shape class: in which documents, how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    @F.arrow_udf("struct<n_words:bigint,log_likelihood:double,mean_log_prob:double>")
-    def of(column: pa.Array) -> pa.Array:
         table = per_process("lm", key, network.table)
         classes = per_process("lm", tuple(network.words), lambda: WordClasses(network.words))
-        texts, sums, sizes = text_bytes(column), [], []
-        for a, b in slices([len(x) for x in texts]):
-            contexts, own, n = classes.windows(texts[a:b])
-            logs = np.concatenate([[0.0], np.cumsum(table[contexts, own], dtype=np.float64)])
-            ends = np.concatenate([[0], np.cumsum(n)])
-            sums.append(logs[ends[1:]] - logs[ends[:-1]])
-            sizes.append(n)
-        sums, sizes = (np.concatenate(x) if x else np.empty(0) for x in (sums, sizes))
-        mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-        return struct_array(n_words=sizes.astype(np.int64), log_likelihood=sums, mean_log_prob=mean)
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            start = 0
+            for column in _text_slices(batch.column(1)):
+                number, n = number + 1, len(column)
+                ids = batch.column(0).slice(start, n)
+                start += n
+                own = Windows(column, classes)
+                sums = np.bincount(own.texts, table[own.contexts, own.classes], n)
+                some = own.classes <= SHAPES
+                pairs, times = np.unique(own.places[some].astype(np.int64) * n + own.texts[some], return_counts=True)
+                word, first = np.unique(pairs // n, return_index=True)
+                ends = np.append(first, len(pairs)).astype(np.int64) * 8
+                posted = np.stack([pairs % n, times], axis=1).astype(np.int32)
+                posted = pa.Array.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(ends), pa.py_buffer(posted)]).cast(pa.binary())
+                none = len(word)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(1 + none, number)),
+                        pa.concat_arrays([pa.array([b" %d" % number], pa.binary()), own.words.take(pa.array(word)).cast(pa.binary())]),
+                        pa.array(np.append(0, own.of_words[word]).astype(np.int32), mask=np.arange(1 + none) == 0),
+                        pa.concat_arrays([pa.nulls(1, pa.binary()), posted]),
+                        pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(id_type)), pa.nulls(none, pa.list_(id_type))]),
+                        pa.concat_arrays([pa.array([own.sizes.astype(np.int64).tobytes()], pa.binary()), pa.nulls(none, pa.binary())]),
+                        pa.concat_arrays([pa.array([sums.tobytes()], pa.binary()), pa.nulls(none, pa.binary())]),
+                    ],
+                    names=["slice", "word", "class", "posted", "ids", "sizes", "sums"],
+                )
+
+    return run
+
 
-    return of(F.col(text))
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice, its documents' row first -> the documents with the sums of both parts."""
+    ids = sizes = sums = None
 
+    def rows() -> pa.RecordBatch:
+        mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_prob"])
 
-def score_likelihood(docs: DataFrame, network: WindowNetwork) -> DataFrame:
-    """doc_id, n_words, log_likelihood and mean_log_prob of each row of docs; other columns are ignored."""
-    return docs.select("doc_id", likelihood_column(network).alias("s")).select("doc_id", "s.*")
+    for batch in batches:
+        log, posted, own_ids, own_sizes, own_sums = (batch.column(x) for x in ("log", "posted", "ids", "sizes", "sums"))
+        heads = np.flatnonzero(own_sums.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for a, b in zip([0, *heads], [*heads, len(log)], strict=True):
+            if a in heads and b > a:
+                if sums is not None:
+                    yield rows()
+                ids, sizes, sums = own_ids[a].values, np.frombuffer(own_sizes[a].as_py(), np.int64), np.frombuffer(own_sums[a].as_py(), np.float64).copy()
+                a += 1
+            if b > a:
+                some = posted.slice(a, b - a)
+                pairs = np.frombuffer(b"".join(some.to_pylist()), np.int32).reshape(-1, 2)
+                each = np.repeat(log.slice(a, b - a).to_numpy(), pc.binary_length(some).to_numpy() // 8)
+                sums += np.bincount(pairs[:, 0], each * pairs[:, 1], len(sums))
+    if sums is not None:
+        yield rows()
+
+
+def score_likelihood(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, n_words, log_likelihood (summed over all words, each from both sides) and mean_log_prob (null without
+    words) of each row of docs; other columns are ignored. Null and empty texts have no words and log-likelihood 0.
+    Repeated rows are scored each; no rows give none. Whole texts count. docs should be read from files, so that a task
+    that runs again sees the same slices of texts.
+
+    A slice of texts asks for each of its words once. The words meet their counts in a join, and the answers go back to
+    the documents by slice: a word of the whole corpus is a row for each slice, not for each place where it stands.
+    """
+    kind = docs.schema["doc_id"].dataType
+    id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
+    texts = docs.select("doc_id", "text")
+    asked = texts.mapInArrow(_requests(model.network, model.network.key(), id_type), f"slice long, word binary, class int, posted binary, ids array<{kind.simpleString()}>, sizes binary, sums binary")
+    known = asked.join(model.counts, "word", "left")
+    log = F.when(F.col("class").isNotNull(), model.word_log_probability(F.col("n"), F.col("class")))
+    answers = known.select("slice", log.alias("log"), "posted", "ids", "sizes", "sums")
+    sorted_ = answers.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice", F.col("log").asc_nulls_first())
+    return sorted_.mapInArrow(_scores, f"doc_id {kind.simpleString()}, n_words long, log_likelihood double, mean_log_prob double")
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    network, _ = train(docs)
-    return score_likelihood(docs, network)
+    model, _ = train(docs)
+    return score_likelihood(docs, model)

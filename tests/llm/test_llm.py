@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -404,20 +406,74 @@ def test_max_score_skips_and_stays_exact():
 # ---------------------------------------------------------------- op7: language model
 
 
+def class_of(vocabulary, word):
+    """The class of a word, byte by byte."""
+    if word in vocabulary:
+        return 1 + lm.SHAPES + vocabulary.index(word)
+    upper, lower, digit = set(range(65, 91)), {*range(97, 123), *range(128, 256)}, set(range(48, 58))
+    chars = set(word)
+    kind = 3 if chars & digit else 0 if chars <= lower else 2 if chars <= upper else 1 if word[0] in upper and set(word[1:]) <= lower else 4
+    return 1 + 3 * kind + (len(word) > 4) + (len(word) > 8)
+
+
+def test_shape_classes():
+    odd = [b"a", b"A", b"Ab", b"AB", b"aB", b"abcde", b"Abcde", b"ABCDEFGHI", b"a1", b"#", b"a-b", "éé".encode(), "Éa".encode(), b"x" * 9, b"the"]
+    assert lm.WordClasses([b"the"]).of(pa.array(odd, pa.binary())).tolist() == [class_of([b"the"], w) for w in odd]
+    assert lm.WordClasses([]).of(pa.array([], pa.string())).tolist() == []
+
+
+def likelihoods_by_hand(scored, trained, network):
+    """(doc_id, words, log-likelihood) of each text: the network's classes, and each word's share of its class."""
+    counts = Counter(w.encode() for t in trained for w in words(t))
+    of = lambda w: class_of(network.words, w)
+    seen, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        seen[of(w)] += n
+        kinds[of(w)] += 1
+    for i, t in scored:
+        own = [w.encode() for w in words(t)]
+        ids = [0, *map(of, own), 0]
+        total = sum(network.log_probabilities(np.array([ids[k - 1] * lm.CLASSES + ids[k + 1]]))[0, ids[k]] for k in range(1, len(ids) - 1))
+        for w in own:
+            if of(w) <= lm.SHAPES:
+                total += np.log((counts.get(w) or kinds[of(w)] + 1) / (seen[of(w)] + kinds[of(w)] + 1))
+        yield i, len(own), float(total)
+
+
 def test_likelihood_by_hand(spark, docs, empty):
-    network, losses = lm.train(docs, rounds=6)
+    model, losses = lm.train(docs, rounds=6)
     assert losses[-1] < losses[0]
-    classes = lm.WordClasses(network.words)
-    got = sorted(((r["doc_id"], r["n_words"], round(r["log_likelihood"], 3)) for r in lm.score_likelihood(docs, network).collect()), key=str)
-    want = []
-    for i, t in rows_of(docs):
-        ids = [0, *(classes.fixed.get(w.encode()) or lm.shape_class(w.encode()) for w in words(t)), 0]
-        total = sum(network.log_probabilities(np.array([ids[k - 1] * lm.CLASSES + ids[k + 1]]))[0, ids[k]] for k in range(1, len(ids) - 1))
-        want.append((i, len(ids) - 2, float(total)))
-    for (i, n, x), (j, m, y) in zip(got, sorted(((i, n, round(x, 3)) for i, n, x in want), key=str), strict=True):
-        assert (i, n) == (j, m) and abs(x - y) < 0.01 + 1e-4 * abs(y)
+    strange = spark.createDataFrame([(1, "zzzz Qq12 zzzz neverseen"), (None, None), (2, "")], "doc_id int, text string")
+    for some in (docs, strange):
+        got = sorted(((r["doc_id"], r["n_words"], r["log_likelihood"], r["mean_log_prob"]) for r in lm.score_likelihood(some, model).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+        want = sorted(likelihoods_by_hand(rows_of(some), [t for _, t in rows_of(docs)], model.network), key=lambda r: (str(r[0]), r[1], r[2]))
+        for (i, n, x, mean), (j, m, y) in zip(got, want, strict=True):
+            assert (i, n) == (j, m) and abs(x - y) < 0.01 + 1e-4 * abs(y)
+            assert mean is None if n == 0 else abs(mean - y / n) < 0.01
     nothing, _ = lm.train(empty, rounds=2)
     assert lm.score_likelihood(empty, nothing).count() == 0
+    assert lm.score_likelihood(docs, nothing).count() == docs.count()
+
+
+def test_a_rare_word_scores_above_a_word_of_the_same_shape_that_the_corpus_lacks(spark):
+    rows = [(i, f"the pump moves water through a valve near brook{'abcdefgh'[i % 8]} and back") for i in range(400)]
+    corpus = spark.createDataFrame(rows + [(1000 + i, f"extra{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)], "doc_id long, text string")
+    model, _ = lm.train(corpus, rounds=4)
+    model.network.words = model.network.words[:6]  # so that the names are rare ones of a shape
+    model.seen, model.kinds = lm.class_sizes(model.counts, model.network.words)
+    asked = spark.createDataFrame([(1, "the brooka and"), (2, "the qxzvvk and")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score_likelihood(asked, model).collect()}
+    share = lambda n: (400 // 8) / (model.kinds[class_of(model.network.words, b"brooka")] + 1) if n else 1.0
+    assert got[1] != got[2]
+    assert got[1] - got[2] == pytest.approx(np.log(share(True)), abs=1e-3)
+
+
+def test_many_long_words_and_one_very_long_one(spark):
+    long = [(i, " ".join(f"{i:04d}{k:04d}" + "q" * 9000 for k in range(20))) for i in range(30)] + [(99, "w" * 3_000_000)]
+    some = spark.createDataFrame(long, "doc_id long, text string").repartition(2)
+    model, _ = lm.train(some, rounds=2)
+    got = {r["doc_id"]: (r["n_words"], r["log_likelihood"]) for r in lm.score_likelihood(some, model).collect()}
+    assert len(got) == 31 and got[99][0] == 1 and all(n == 20 and x < 0 for i, (n, x) in got.items() if i != 99)
 
 
 def test_gradient_is_the_slope():
@@ -438,13 +494,13 @@ def test_gradient_is_the_slope():
 
 def test_window_counts(docs):
     found = {}
-    for r in lm.window_counts(docs, ["a", "b"] and [b"a", b"b"]).collect():
+    for r in lm.window_counts(docs, [b"a", b"b"]).collect():
         for code, n in zip(np.frombuffer(r["codes"], np.int32).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True):
             assert code not in found
             found[code] = n
-    own, want = lm.WordClasses([b"a", b"b"]), {}
+    want = {}
     for _, t in rows_of(docs):
-        ids = [0, *(own.fixed.get(w.encode()) or lm.shape_class(w.encode()) for w in words(t)), 0]
+        ids = [0, *(class_of([b"a", b"b"], w.encode()) for w in words(t)), 0]
         for k in range(1, len(ids) - 1):
             code = (ids[k - 1] * lm.CLASSES + ids[k + 1]) * lm.CLASSES + ids[k]
             want[code] = want.get(code, 0) + 1
