@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_SLICE, documents, partitions, per_process, slices, split_words, staged, text_sizes
+from .common import ARROW_SLICE, TEXT_SLICE, documents, partitions, per_process, slices, split_words, staged, text_sizes
 
 #: Classes with the boundary (0, only ever seen as a neighbour) and SHAPES shape classes; the rest are words.
 CLASSES, SHAPES = 256, 15
@@ -82,8 +82,8 @@ class Windows:
         self.contexts = with_bounds[at - 1] * CLASSES + with_bounds[at + 1]
 
 
-def _text_slices(column: pa.Array) -> Iterator[pa.Array]:
-    for a, b in slices(text_sizes(column), ARROW_SLICE):
+def _text_slices(column: pa.Array, limit: int = ARROW_SLICE) -> Iterator[pa.Array]:
+    for a, b in slices(text_sizes(column), limit):
         yield column.slice(a, b - a)
 
 
@@ -191,7 +191,10 @@ class WindowNetwork:
 
     def table(self) -> np.ndarray:
         """log_probabilities of all contexts, CLASSES**3 single floats."""
-        return np.concatenate([self.log_probabilities(np.arange(a, a + 4096)).astype(np.float32) for a in range(0, CLASSES**2, 4096)])
+        out = np.empty((CLASSES**2, CLASSES), np.float32)
+        for a in range(0, CLASSES**2, 1024):
+            out[a : a + 1024] = self.log_probabilities(np.arange(a, a + 1024))
+        return out
 
     def key(self) -> str:
         return hashlib.md5(b"".join(x.tobytes() for x in self.parameters())).hexdigest()
@@ -289,7 +292,7 @@ def _requests(network: WindowNetwork, key: str, id_type: pa.DataType):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             start = 0
-            for column in _text_slices(batch.column(1)):
+            for column in _text_slices(batch.column(1), TEXT_SLICE):
                 number, n = number + 1, len(column)
                 ids = batch.column(0).slice(start, n)
                 start += n
