@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_SLICE, TEXT_SLICE, documents, partitions, per_process, slices, split_words, staged, text_sizes
+from .common import ARROW_SLICE, documents, partitions, per_process, slices, split_words, staged, text_sizes
 
 #: Classes with the boundary (0, only ever seen as a neighbour) and SHAPES shape classes; the rest are words.
 CLASSES, SHAPES = 256, 15
@@ -33,6 +33,8 @@ HIDDEN, ROUNDS, RATE = 32, 40, 0.08
 BUCKETS, TRAINERS = 1024, 8
 #: Windows that a task counts at once.
 HELD_WINDOWS = 4 << 20
+#: Bytes of text whose words are asked for at once.
+ASKED_SLICE = 6 << 20
 
 _UPPER, _LOWER, _DIGIT, _OTHER = 1, 2, 4, 8
 _KIND_OF_BYTE = np.full(256, _OTHER, np.uint8)
@@ -281,8 +283,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: flo
 
 
 def _requests(network: WindowNetwork, key: str, id_type: pa.DataType):
-    """Texts -> rows of slices of texts: one with the documents of the slice and their sums of log P(class | both sides),
-    under a key that is no word (it has a space), and one for each word of a shape class: in which documents, how often."""
+    """Texts -> rows of slices of texts: one with the documents of the slice, their words and their sums of
+    log P(class | both sides), under a key that is no word (it has a space), and one for each word of a shape class: in
+    which documents, how often. The place of the first row is even, that of the others is the next number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -292,7 +295,7 @@ def _requests(network: WindowNetwork, key: str, id_type: pa.DataType):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             start = 0
-            for column in _text_slices(batch.column(1), TEXT_SLICE):
+            for column in _text_slices(batch.column(1), ASKED_SLICE):
                 number, n = number + 1, len(column)
                 ids = batch.column(0).slice(start, n)
                 start += n
@@ -307,22 +310,20 @@ def _requests(network: WindowNetwork, key: str, id_type: pa.DataType):
                 none = len(word)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(1 + none, number)),
+                        pa.array(2 * number + (np.arange(1 + none) > 0)),
                         pa.concat_arrays([pa.array([b" %d" % number], pa.binary()), own.words.take(pa.array(word)).cast(pa.binary())]),
                         pa.array(np.append(0, own.of_words[word]).astype(np.int32), mask=np.arange(1 + none) == 0),
-                        pa.concat_arrays([pa.nulls(1, pa.binary()), posted]),
+                        pa.concat_arrays([pa.array([own.sizes.astype(np.int64).tobytes() + sums.tobytes()], pa.binary()), posted]),
                         pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(id_type)), pa.nulls(none, pa.list_(id_type))]),
-                        pa.concat_arrays([pa.array([own.sizes.astype(np.int64).tobytes()], pa.binary()), pa.nulls(none, pa.binary())]),
-                        pa.concat_arrays([pa.array([sums.tobytes()], pa.binary()), pa.nulls(none, pa.binary())]),
                     ],
-                    names=["slice", "word", "class", "posted", "ids", "sizes", "sums"],
+                    names=["place", "word", "class", "posted", "ids"],
                 )
 
     return run
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by slice, its documents' row first -> the documents with the sums of both parts."""
+    """Rows sorted by place -> the documents of each slice with the sums of both parts."""
     ids = sizes = sums = None
 
     def rows() -> pa.RecordBatch:
@@ -330,13 +331,14 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_prob"])
 
     for batch in batches:
-        log, posted, own_ids, own_sizes, own_sums = (batch.column(x) for x in ("log", "posted", "ids", "sizes", "sums"))
-        heads = np.flatnonzero(own_sums.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        log, posted, own_ids = (batch.column(x) for x in ("log", "posted", "ids"))
+        heads = np.flatnonzero(log.is_null().to_numpy(zero_copy_only=False)).tolist()
         for a, b in zip([0, *heads], [*heads, len(log)], strict=True):
-            if a in heads and b > a:
+            if b > a and not log[a].is_valid:
                 if sums is not None:
                     yield rows()
-                ids, sizes, sums = own_ids[a].values, np.frombuffer(own_sizes[a].as_py(), np.int64), np.frombuffer(own_sums[a].as_py(), np.float64).copy()
+                ids, counts = own_ids[a].values, posted[a].as_py()
+                sizes, sums = np.frombuffer(counts[: 8 * len(ids)], np.int64), np.frombuffer(counts[8 * len(ids) :], np.float64).copy()
                 a += 1
             if b > a:
                 some = posted.slice(a, b - a)
@@ -359,11 +361,12 @@ def score_likelihood(docs: DataFrame, model: LanguageModel) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     texts = docs.select("doc_id", "text")
-    asked = texts.mapInArrow(_requests(model.network, model.network.key(), id_type), f"slice long, word binary, class int, posted binary, ids array<{kind.simpleString()}>, sizes binary, sums binary")
+    asked = texts.mapInArrow(_requests(model.network, model.network.key(), id_type), f"place long, word binary, class int, posted binary, ids array<{kind.simpleString()}>")
     known = asked.join(model.counts, "word", "left")
     log = F.when(F.col("class").isNotNull(), model.word_log_probability(F.col("n"), F.col("class")))
-    answers = known.select("slice", log.alias("log"), "posted", "ids", "sizes", "sums")
-    sorted_ = answers.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice", F.col("log").asc_nulls_first())
+    answers = known.select("place", log.alias("log"), "posted", "ids")
+    # one integer to sort by, so that Spark sorts by radix and compares no rows
+    sorted_ = answers.repartition(partitions(docs.sparkSession), F.shiftright("place", 1)).sortWithinPartitions("place")
     return sorted_.mapInArrow(_scores, f"doc_id {kind.simpleString()}, n_words long, log_likelihood double, mean_log_prob double")
 
 
