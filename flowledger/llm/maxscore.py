@@ -164,14 +164,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     vec_id are candidates each. Scores beyond 64 bits count as the nearest 64-bit integer. No queries: no rows.
 
     Queries and candidates are packed into blocks and laid out on a grid: a block of queries goes to all columns of its
-    row, a block of candidates to all rows of its column, and each cell is joined by its own key. So the stated queries
+    row, a block of candidates to all rows of its column, and each cell is joined by its own key. The grid has about four
+    cells for each shuffle partition and at most the square root of that many rows, so candidates aren't copied more often
+    when there are more queries: a row then has several blocks of them. So the stated queries
     meet all vectors, with no row for a pair of vectors and nothing broadcast.
     """
     n = partitions(queries.sparkSession)
     schema = "block long, dims int, ids binary, data binary"
     asked = staged(queries.repartition(max(1, n // 4)).mapInArrow(_packed(QUERIES), schema), "queries")
     shards = candidates.repartition(n).mapInArrow(_packed(SHARD), schema)
-    rows = max(1, asked.count())
+    rows = max(1, min(asked.count(), round((4 * n) ** 0.5)))
     columns = max(1, 4 * n // rows)
     place, every = (lambda k: F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     asked = asked.select("dims", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), place(rows).alias("row"), every(columns).alias("column"))
