@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, staged
+from .common import partitions
+from .grid import QUERIES, SHARD, blocks, finite, meet
 
-#: Vectors in a shard row, queries in a query row, vectors traversed between two looks at the thresholds.
-SHARD, QUERIES, STEP = 8192, 512, 1024
+#: Vectors traversed between two looks at the thresholds.
+STEP = 1024
 #: Integers up to here are exact as doubles; beyond, scores are worked out as Python integers.
 EXACT = 2**53
 
@@ -99,43 +100,8 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v array<double>): floor(scale * x) of each component, for rows whose vector and components are all finite."""
-    x = F.col("embedding")
-    fine = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
-
-
-def _packed(size: int):
-    """Batches of (vec_id, v) -> rows (block, dims, ids, data) of at most size vectors of one length; block is a number
-    of its own for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held: dict[int, list] = {}
-        block = TaskContext.get().partitionId() << 32
-
-        def row(dims: int, parts: list) -> pa.RecordBatch:
-            nonlocal block
-            block += 1
-            ids, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["block", "dims", "ids", "data"])
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            column = batch.column(1)
-            sizes = column.value_lengths().to_numpy()
-            flat, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-            for dims in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == dims)
-                rows = flat[ends[at][:, None] + np.arange(dims)].reshape(len(at), dims)
-                for a in range(0, len(at), size):
-                    held.setdefault(dims, []).append((ids[at[a : a + size]], rows[a : a + size]))
-                    if sum(len(x) for x, _ in held[dims]) >= size:
-                        yield row(dims, held.pop(dims))
-        for dims, parts in held.items():
-            yield row(dims, parts)
-
-    return run
+    fine = finite() & F.col("vec_id").isNotNull()
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
 
 
 def _search_rows(k: int):
@@ -163,22 +129,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     Vectors of another length than the query's are no candidates; vectors without components score 0. Repeated rows of a
     vec_id are candidates each. Scores beyond 64 bits count as the nearest 64-bit integer. No queries: no rows.
 
-    Queries and candidates are packed into blocks and laid out on a grid: a block of queries goes to all columns of its
-    row, a block of candidates to all rows of its column, and each cell is joined by its own key. The grid has about four
-    cells for each shuffle partition and at most the square root of that many rows, so candidates aren't copied more often
-    when there are more queries: a row then has several blocks of them. So the stated queries
-    meet all vectors, with no row for a pair of vectors and nothing broadcast.
+    Queries and candidates are packed into blocks that meet on a grid (grid.meet), so the stated queries meet all
+    vectors, with no row for a pair of vectors and nothing broadcast. Blocks of both sides are staged.
     """
     n = partitions(queries.sparkSession)
-    schema = "block long, dims int, ids binary, data binary"
-    asked = staged(queries.repartition(max(1, n // 4)).mapInArrow(_packed(QUERIES), schema), "queries")
-    shards = candidates.repartition(n).mapInArrow(_packed(SHARD), schema)
-    rows = max(1, min(asked.count(), round((4 * n) ** 0.5)))
-    columns = max(1, 4 * n // rows)
-    place, every = (lambda k: F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    asked = asked.select("dims", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), place(rows).alias("row"), every(columns).alias("column"))
-    shards = shards.select("dims", "ids", "data", place(columns).alias("column"), every(rows).alias("row"))
-    found = asked.join(shards, ["row", "column", "dims"]).mapInArrow(_search_rows(k), "query_id long, vec_id long, score long")
+    queries, candidates = (x.withColumn("label", F.lit(0).cast("long")) for x in (queries, candidates))
+    asked, shards = blocks(queries, QUERIES, max(1, n // 4), "queries"), blocks(candidates, SHARD, n, "shards")
+    found = meet(asked, shards).mapInArrow(_search_rows(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, maxscore, packing, pieces, quality, sharding, simhash, substring, tokenfile, toxicity
+from . import gridjoin, lm, maxscore, negatives, packing, pieces, quality, sharding, simhash, substring, tokenfile, toxicity
 
 
 def queries():
@@ -17,8 +17,16 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_embedding_near_dedup": gridjoin.op11_embedding_near_dedup,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql():
-    return {"op4_substring_dedup": substring.OP4_SQL, "op6_exact_topk": maxscore.OP6_SQL, "op9_sharding": sharding.OP9_SQL}
+    return {
+        "op4_substring_dedup": substring.OP4_SQL,
+        "op6_exact_topk": maxscore.OP6_SQL,
+        "op9_sharding": sharding.OP9_SQL,
+        "op11_embedding_near_dedup": gridjoin.OP11_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
+    }
