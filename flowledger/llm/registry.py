@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gridjoin, lm, maxscore, negatives, packing, pieces, quality, sharding, simhash, substring, tokenfile, toxicity
+from . import alignment, gridjoin, lm, maxscore, negatives, packing, pieces, quality, sharding, simhash, substring, tokenfile, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_sharding": sharding.op9_sharding,
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op11_embedding_near_dedup": gridjoin.op11_embedding_near_dedup,
+        "op12_cross_tokenizer": alignment.op12_cross_tokenizer,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
