@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import curve_queries, curve_table_queries, entry_queries, match_queries, page_queries, source_queries, table_queries  # noqa: F401  they register themselves
+    from . import curve_queries, curve_table_queries, entry_queries, fill_queries, match_queries, page_queries, source_queries, table_queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
