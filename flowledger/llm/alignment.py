@@ -32,7 +32,9 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of a piece of the path.
 STEPS = 64
 #: Bytes of text that a task aligns at once.
-SLICE = 6 << 20
+SLICE = 4 << 20
+#: Bytes of links that a task counts at once.
+COUNTED = 8 << 20
 #: Units, and bytes of what is known of them, that a worker remembers; longer units aren't remembered.
 UNITS, KNOWN_BYTES, LONG_UNIT = 300_000, 64 << 20, 256
 #: Bytes of new units that are tokenized together.
@@ -322,6 +324,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """links -> (code, n) of each slice of them."""
     held, size = [], 0
+    per_process("alignment-counts", None, dict)  # what is known of units goes
 
     def sums(parts: list) -> pa.RecordBatch:
         codes, n = np.unique(np.frombuffer(b"".join(parts), "<i8"), return_counts=True)
@@ -331,7 +334,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(0).to_pylist():
             held.append(x)
             size += len(x)
-            if size > 32 << 20:
+            if size > COUNTED:
                 yield sums(held)
                 held, size = [], 0
     if held:
@@ -352,12 +355,13 @@ def _looked_up(codes: np.ndarray, n: np.ndarray, best: np.ndarray):
     (code, times) with times in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_process("alignment-counts", None, dict)
         padded = np.append(codes, np.int64(-1))
         weights = [np.append(x, 0) for x in (best.astype(np.int64), n)]
         for batch in batches:
             links = batch.column(1)
             sizes = pc.binary_length(links).to_numpy() // 8
-            for a, b in slices((8 * sizes).tolist(), 4 * SLICE):
+            for a, b in slices((8 * sizes).tolist(), COUNTED):
                 own = np.frombuffer(b"".join(links.slice(a, b - a).to_pylist()), "<i8")
                 starts = np.concatenate([[0], np.cumsum(sizes[a:b])])
                 at = np.searchsorted(codes, own)
