@@ -32,13 +32,13 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of a piece of the path.
 STEPS = 64
 #: Bytes of text that a task aligns at once.
-SLICE = 4 << 20
+SLICE = 3 << 20
 #: Bytes of links that a task counts at once.
-COUNTED = 8 << 20
+COUNTED = 4 << 20
 #: Units, and bytes of what is known of them, that a worker remembers; longer units aren't remembered.
-UNITS, KNOWN_BYTES, LONG_UNIT = 300_000, 64 << 20, 256
+UNITS, KNOWN_BYTES, LONG_UNIT = 160_000, 32 << 20, 256
 #: Bytes of new units that are tokenized together.
-NEW = 2 << 20
+NEW = 1 << 20
 HOT_SHARE = 1 << 18
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary"
 

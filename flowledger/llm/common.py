@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -14,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, staged  # noqa: F401  for all operators
+
 #: Stands for a null doc_id where rows have to be ordered or joined by it: such rows come last.
 NO_ID = 2**63 - 1
 #: Bytes of text that a task turns into Python words at once.
@@ -31,24 +35,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a new local one where it is unset."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        where = tempfile.mkdtemp(prefix="flowledger-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -170,11 +156,19 @@ class LearnedIds:
 _per_process: dict = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the machine: a worker lives on in the next stage, with what it once held still counted."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def per_process(group: str, key, make: Callable):
     """One object of a key for the life of a Python worker, or until another group of objects is asked for: what one
     operator remembers doesn't stay beside what the next one does."""
     if any(g != group for g, _ in _per_process):
         _per_process.clear()
+        _give_back()
     if (group, key) not in _per_process:
         _per_process[group, key] = make()
     return _per_process[group, key]
