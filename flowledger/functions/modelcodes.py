@@ -39,9 +39,9 @@ def _missing(x: Column) -> Column:
 
 
 def affinity_head(impeller_mm: Column, rpm: Column, reference_mm: float = 200.0, reference_head: float = 32.0) -> Column:
-    """Head of an impeller by the affinity laws: it grows with the square of its width and, at half speed, is a quarter."""
-    full = (impeller_mm / reference_mm) * (impeller_mm / reference_mm) * reference_head
-    return half_up(F.when(rpm < 2000, full * 0.25).otherwise(full), 1)
+    """Head of an impeller by the affinity laws, to a tenth: it grows with the square of its width and is a quarter at 1450 rpm."""
+    full = half_up((impeller_mm / reference_mm) * (impeller_mm / reference_mm) * reference_head, 1)
+    return F.when(rpm == 1450, half_up(full * 0.25, 1)).otherwise(full)
 
 
 def speed_of_poles(poles: Column) -> Column:

@@ -35,9 +35,9 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", M.from_model_name(name, none, none, none, F.lit(0)).alias("m")).select("p_partkey", "m.*")
 
 
-@query("f17_affinity_head", "SELECT p_partkey, floor(CASE WHEN p_size % 2 = 0 THEN (p_size * 5 / 200.0::DOUBLE) * (p_size * 5 / 200.0::DOUBLE) * 32.0::DOUBLE * 0.25::DOUBLE ELSE (p_size * 5 / 200.0::DOUBLE) * (p_size * 5 / 200.0::DOUBLE) * 32.0::DOUBLE END * 10 + 0.5::DOUBLE) / 10 AS h FROM part")
+@query("f17_affinity_head", "WITH f AS (SELECT p_partkey, p_size, floor((p_size * 5 / 200.0::DOUBLE) * (p_size * 5 / 200.0::DOUBLE) * 32.0::DOUBLE * 10 + 0.5::DOUBLE) / 10 AS h FROM part) SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN floor(h * 0.25::DOUBLE * 10 + 0.5::DOUBLE) / 10 ELSE h END AS h FROM f")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", M.affinity_head(F.col("p_size") * 5, F.when(F.col("p_size") % 2 == 0, 1450).otherwise(2900)).alias("h"))
+    return table(spark, d, "part").select("p_partkey", M.affinity_head(F.col("p_size") * 5, F.when(F.col("p_size") % 3 == 0, 1450).when(F.col("p_size") % 3 == 1, 960).otherwise(2900)).alias("h"))
 
 
 @query("f23_clean_raw_name", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('AB ', p_size::varchar, '-1') WHEN 1 THEN concat('CDM', p_size::varchar, '-2') WHEN 5 THEN concat('CD ', p_size::varchar) END AS name FROM part")
