@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..functions.names import series_of
 from ..functions.numbers import half_up
 from ..functions.units import PER_MINUTE
+from ..sources.staging import staged
 
 
 def self_heal(entries: DataFrame) -> DataFrame:
@@ -65,18 +66,32 @@ def calibrate(entries: DataFrame, text: Column | None = None, healed: Column | N
     return out.withColumn("confidence", half_up(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 3)).drop("_ratio", "_reward", *(x for x in physics.CHECKS if x != "reason"))
 
 
-def nearest_rank(values: DataFrame, group: str, value: str, percents: list[int], least: int = 5) -> DataFrame:
-    """group, n, p<percent>..: the value at place floor(n * percent / 100) of the sorted values of each group.
+#: Ranges that a search for a place splits a range into.
+RANGES = 4096
 
-    Equal values are counted before they are ordered, so a large group costs a row for each different value, in running
-    sums, and not one for each record.
-    """
-    from pyspark.sql import Window
 
-    counts = values.groupBy(group, value).agg(F.count("*").alias("c"))
-    run = counts.withColumns({"upto": F.sum("c").over(Window.partitionBy(group).orderBy(value)), "n": F.sum("c").over(Window.partitionBy(group))})
-    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return run.where(F.col("n") >= least).groupBy(group).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents))
+def nearest_rank(values: DataFrame, group: str | list[str], value: str, percents: list[int], least: int = 5) -> DataFrame:
+    """group, n, p<percent>..: the value at place floor(n * percent / 100) of the sorted values of each group that has least
+    values or more; null values don't count.
+
+    Exact selection without a sort of any group: equal values are counted first; then the span of a group is cut into RANGES
+    ranges, their counts are summed up in order, and only the range that holds the place is cut again, until it is one value.
+    A group's values stay spread over all tasks; what meets in one is RANGES rows for each group and percent.
+    """
+    group = [group] if isinstance(group, str) else list(group)
+    counts = staged(values.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "value-counts")
+    totals = counts.groupBy(*group).agg(F.sum("_c").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).where(F.col("n") >= least)
+    at = F.least(F.floor(F.col("n") * F.col("_p") / 100), F.col("n") - 1)
+    targets = staged(totals.withColumn("_p", F.explode(F.array(*map(F.lit, percents)))).withColumn("_at", at), "places")
+    while not (open_ := targets.where("_low < _high")).isEmpty():
+        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        own = counts.join(open_, group).where("_v >= _low AND _v <= _high").withColumn("_range", F.floor(share * RANGES))
+        ranges = own.groupBy(*group, "_p", "n", "_at", "_range").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.sum("_c").over(Window.partitionBy(*group, "_p").orderBy("_range"))
+        holds = ranges.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
+        holds = holds.withColumn("_at", F.col("_at") - (F.col("_upto") - F.col("_c"))).select(*targets.columns)
+        targets = staged(targets.where("_low >= _high").unionByName(holds), "places")
+    return targets.groupBy(*group, "n").agg(*(F.max(F.when(F.col("_p") == p, F.col("_low"))).alias(f"p{p}") for p in percents))
 
 
 def _series(entries: DataFrame) -> DataFrame:
@@ -87,14 +102,17 @@ def iqr_outliers(entries: DataFrame, columns: tuple[str, ...] = ("q_nom", "h_nom
     """<column>_outlier: outside fence quartile ranges of the positive values of its series (five of them at least), and
     outlier_factor: 0.85 for each."""
     out = _series(entries)
+    long = out.select("series_key", F.explode(F.create_map(*(y for x in columns for y in (F.lit(x), F.col(x).cast("double"))))).alias("column", "value"))
+    limits = nearest_rank(long.where("value > 0"), ["series_key", "column"], "value", [25, 75]).where("p75 > p25")
+    span = fence * (F.col("p75") - F.col("p25"))
+    of = lambda x, v: F.max(F.when(F.col("column") == x, v))
+    wide = limits.groupBy("series_key").agg(*(c for x in columns for c in (of(x, F.col("p25") - span).alias(f"_low_{x}"), of(x, F.col("p75") + span).alias(f"_high_{x}"))))
+    out = out.join(wide, "series_key", "left")
+    odd = {f"{x}_outlier": F.coalesce((F.col(x) > 0) & ((F.col(x) < F.col(f"_low_{x}")) | (F.col(x) > F.col(f"_high_{x}"))), F.lit(False)) for x in columns}
+    out = out.withColumns(odd).drop(*(f"_{end}_{x}" for end in ("low", "high") for x in columns))
     factor = F.lit(1.0)
-    for x in columns:
-        limits = nearest_rank(out.where(F.col(x) > 0), "series_key", x, [25, 75]).where("p75 > p25")
-        limits = limits.select("series_key", (F.col("p25") - fence * (F.col("p75") - F.col("p25"))).alias("_low"), (F.col("p75") + fence * (F.col("p75") - F.col("p25"))).alias("_high"))
-        out = out.join(limits, "series_key", "left")
-        odd = (F.col(x) > 0) & ((F.col(x) < F.col("_low")) | (F.col(x) > F.col("_high")))
-        out = out.withColumn(f"{x}_outlier", F.coalesce(odd, F.lit(False))).drop("_low", "_high")
-        factor = factor * F.when(F.col(f"{x}_outlier"), 0.85).otherwise(1.0)
+    for x in odd:
+        factor = factor * F.when(F.col(x), 0.85).otherwise(1.0)
     return out.withColumn("outlier_factor", factor)
 
 
