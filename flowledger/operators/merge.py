@@ -9,37 +9,62 @@ from ..functions.names import model_key, series_of
 from ..functions.numbers import half_up
 
 ORDER = ("seq", "q_nom", "h_nom", "confidence")
-#: Completeness points of each field; confidence is added.
-POINTS = {"q_nom": 1.0, "h_nom": 1.0, "power_kw": 1.0, "rpm": 0.5}
+#: Completeness points of each field; confidence is added. A curve counts 3.
+POINTS = {"q_nom": 1.0, "h_nom": 1.0, "power_kw": 1.0, "rpm": 0.5, "article": 0.5, "stages": 0.3, "dn_suction": 0.3}
+#: What a merge takes from the first record that knows it.
+NUMBERS, TEXTS = ("q_nom", "h_nom", "power_kw", "rpm", "stages", "dn_suction", "dn_discharge"), ("article", "series", "voltage")
+
+
+def _knows(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name) != "", F.lit(False)) if df.schema[name].dataType.typeName() == "string" else F.coalesce(F.col(name) > 0, F.lit(False))
+
+
+def _has_curve() -> Column:
+    return F.coalesce((F.size("q_points") >= 3) & (F.size("h_points") >= 3), F.lit(False))
 
 
 def completeness(df: DataFrame) -> Column:
-    """Points for known fields plus the confidence. A curve counts 3."""
+    """Points for known fields plus the confidence."""
     score = F.col("confidence")
     for name, points in POINTS.items():
         if name in df.columns:
-            score = score + F.when(F.col(name) > 0, points).otherwise(0.0)
+            score = score + F.when(_knows(df, name), points).otherwise(0.0)
     if "q_points" in df.columns:
-        score = score + F.when((F.size("q_points") >= 3) & (F.size("h_points") >= 3), 3.0).otherwise(0.0)
+        score = score + F.when(_has_curve(), 3.0).otherwise(0.0)
     return score
 
 
-def cross_page_merge(entries: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """One row for each model key: key, model, q_nom, h_nom, power_kw, rpm, confidence, n_pages (records merged).
+def cross_page_merge(entries: DataFrame, number: str = "seq") -> DataFrame:
+    """One row for each model key: key, model, those of NUMBERS, TEXTS, q_points and h_points that entries have, confidence,
+    n_pages (records merged).
+
+    The records of a key are ranked by completeness, then by their number, then by flow; each field is the first known one in
+    that rank (numbers over 0, texts that aren't empty, a curve of three points), 0 or null without; the confidence is the
+    greatest. Records without a key are dropped. number is a whole number that tells the records apart.
 
-    The records of a key are ranked by completeness, then by order; each field is the first known one in that rank, the
-    confidence is the greatest. Records without a key are dropped. Partial sums: the fields are minima of (rank, value), so
-    of a hot key each task sends one row on. The pages themselves are rows of merged_pages.
+    Records are summed up by their written model and completeness first, with numbers alone in the buffers, so this is a hash
+    aggregation and a hot model costs each task a row or two; keys are worked out for those sums, not for each record. The pages
+    themselves are rows of merged_pages.
     """
-    ranked = entries.withColumn("key", model_key(F.col("model"))).where("key <> ''")
-    rank = F.struct((-half_up(completeness(entries), 6)).alias("lack"), *order)
-    first = lambda name, known: F.min(F.when(known, F.struct(rank.alias("rank"), F.col(name).alias("value"))))["value"].alias(name)
-    return ranked.groupBy("key").agg(
-        first("model", F.lit(True)),
-        *(F.coalesce(first(x, F.col(x) > 0), F.lit(0)).cast(entries.schema[x].dataType).alias(x) for x in ("q_nom", "h_nom", "power_kw", "rpm")),
-        F.max("confidence").alias("confidence"),
-        F.count("*").alias("n_pages"),
-    )
+    numbers, texts = ([x for x in own if x in entries.columns] for own in (NUMBERS, TEXTS))
+    order = F.col(number).cast("decimal(19,0)") * F.lit(10_000_000_000).cast("decimal(11,0)") + F.floor(F.coalesce("q_nom", F.lit(0.0)) * 100).cast("decimal(12,0)")
+    ranked = entries.withColumns({"_lack": -half_up(completeness(entries), 6), "_order": order})
+    by = ["model", "_lack"]
+    keyed = lambda sums: sums.withColumn("key", model_key(F.col("model"))).where("key <> ''")
+    own = [c for x in numbers for c in (F.min_by(x, F.when(_knows(entries, x), F.col("_order"))).alias(x), F.min(F.when(_knows(entries, x), F.col("_order"))).alias(f"_at_{x}"))]
+    sums = keyed(ranked.groupBy(*by).agg(*own, F.min("_order").alias("_at"), F.max("confidence").alias("confidence"), F.count("*").alias("n_pages")))
+    first = lambda x, at: F.min_by(x, F.when(F.col(at).isNotNull(), F.struct("_lack", at))).alias(x)
+    filled = [F.coalesce(first(x, f"_at_{x}"), F.lit(0)).cast(entries.schema[x].dataType).alias(x) for x in numbers]
+    out = sums.groupBy("key").agg(first("model", "_at"), *filled, F.max("confidence").alias("confidence"), F.sum("n_pages").alias("n_pages"))
+    for x in texts:
+        told = keyed(ranked.where(_knows(entries, x)).groupBy(*by, x).agg(F.min("_order").alias("_at")))
+        out = out.join(told.groupBy("key").agg(first(x, "_at")), "key", "left")
+    if "q_points" in entries.columns:
+        with_curve = ranked.where(_has_curve())
+        best = keyed(with_curve.groupBy(*by).agg(F.min("_order").alias("_order"))).groupBy("key").agg(F.min(F.struct("_lack", "_order", "model")).alias("b"))
+        best = best.select("key", "b.*").join(with_curve.select(*by, "_order", "q_points", "h_points"), [*by, "_order"]).dropDuplicates(["key"])
+        out = out.join(best.select("key", "q_points", "h_points"), "key", "left")
+    return out.select("key", "model", *numbers, *texts, *(x for x in ("q_points", "h_points") if x in entries.columns), "confidence", "n_pages")
 
 
 def merged_pages(entries: DataFrame, by: tuple[str, ...] = ("source_file", "source_page")) -> DataFrame:

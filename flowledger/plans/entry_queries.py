@@ -221,6 +221,24 @@ def _(spark, d):
     return merge.cross_page_merge(entries(spark, d))
 
 
+CURVED = """curved AS (SELECT *, CASE WHEN seq % 3 = 0 THEN concat('A', seq % 7) WHEN seq % 3 = 1 THEN '' END AS article, CASE WHEN seq % 4 = 0 THEN seq % 5 ELSE 0 END AS stages, CASE WHEN seq % 6 = 0 THEN 50 ELSE 0 END AS dn_suction, CASE WHEN seq % 5 = 0 THEN '400 V' END AS voltage, CASE WHEN seq % 10 = 0 THEN 3 WHEN seq % 10 = 1 THEN 2 ELSE 0 END AS n_points FROM entries)"""
+LACK2 = f"{up('confidence + ' + ' + '.join(f'CASE WHEN {c} THEN {p}::DOUBLE ELSE 0.0::DOUBLE END' for c, p in (('q_nom > 0', 1.0), ('h_nom > 0', 1.0), ('power_kw > 0', 1.0), ('rpm > 0', 0.5), ("article <> ''", 0.5), ('stages > 0', 0.3), ('dn_suction > 0', 0.3), ('n_points >= 3', 3.0))), 6)}"
+
+
+@query(
+    "w3_merged_fields",
+    f"""WITH {ENTRIES}, {CURVED}, r AS (SELECT *, {O.key()} AS key, row_number() OVER (PARTITION BY {O.key()} ORDER BY {LACK2} DESC, {O.ORDER}) AS r FROM curved)
+    SELECT key, arg_min(model, r) AS model, coalesce(arg_min(q_nom, r) FILTER (q_nom > 0), 0.0::DOUBLE) AS q_nom, coalesce(arg_min(power_kw, r) FILTER (power_kw > 0), 0.0::DOUBLE) AS power_kw, coalesce(arg_min(stages, r) FILTER (stages > 0), 0) AS stages, coalesce(arg_min(dn_suction, r) FILTER (dn_suction > 0), 0) AS dn_suction,
+      arg_min(article, r) FILTER (article <> '') AS article, arg_min(voltage, r) FILTER (voltage <> '') AS voltage, arg_min(seq, r) FILTER (n_points >= 3) AS curve_of, max(confidence) AS confidence, count(*) AS n_pages FROM r WHERE key <> '' GROUP BY key""",
+)
+def _(spark, d):
+    entries(spark, d).createOrReplaceTempView("entries")
+    own = spark.sql(f"WITH {CURVED} SELECT * FROM curved")
+    points = F.when(F.col("n_points") > 0, F.transform(F.sequence(F.lit(1), F.col("n_points")), lambda i: F.col("seq") * 1.0))
+    out = merge.cross_page_merge(own.withColumns({"q_points": points, "h_points": points}).drop("n_points"))
+    return out.select("key", "model", "q_nom", "power_kw", "stages", "dn_suction", "article", "voltage", F.get("q_points", F.lit(0)).cast("long").alias("curve_of"), "confidence", "n_pages")
+
+
 @query("w3_merged_pages", f"WITH {ENTRIES}, p AS (SELECT {O.key()} AS key, source_file, source_page, count(*) AS n FROM entries GROUP BY ALL) SELECT key, source_file, source_page, n FROM p WHERE key <> '' AND key IN (SELECT key FROM p GROUP BY key HAVING sum(n) > 1)")
 def _(spark, d):
     return merge.merged_pages(entries(spark, d))
