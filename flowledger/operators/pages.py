@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numbers_in, parse_number
+from .wordscan import words_in
 
 # Keywords of page types.
 SKIP = [
@@ -172,16 +173,18 @@ def detect_rpm(text: Column) -> Column:
 def brand_of_text(pages: DataFrame, rules: DataFrame, by: str = "source_file", page: str = "page_num", text: str = "text", first: int = 10) -> DataFrame:
     """The brand of each catalogue by its first pages and its file name: brand, confidence, kind.
 
-    rules: brand, kind (domain .95, text .9, text3 .85 for three hits or more, filename .8), marker, priority. A rule is a row
-    of a small table; it meets each catalogue once, by its joined text. The first brand by confidence, priority and name wins.
+    rules: brand, kind (domain .95, text .9, text3 .85 for three hits or more, filename .8), marker, priority. An automaton of all
+    markers reads each catalogue's joined first pages and its name once; rules meet the markers that were found in an equi join.
+    The first brand by confidence, priority and name wins. Markers are bounded as words_in() says.
     """
     order = Window.partitionBy(by).orderBy(page)
     some = pages.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= first)
     whole = some.groupBy(by).agg(F.lower(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct(page, F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda x: x["t"]))).alias("_text"))
-    marker = F.lower("marker")
-    hits = F.size(F.split(F.col("_text"), F.concat(F.lit("\\Q"), marker, F.lit("\\E")), -1)) - 1
-    conf = F.when((F.col("kind") == "domain") & (hits > 0), 0.95).when((F.col("kind") == "text") & (hits > 0), 0.9).when((F.col("kind") == "text3") & (hits >= 3), 0.85).when((F.col("kind") == "filename") & F.contains(F.lower(by), marker), 0.8)
-    found = whole.crossJoin(rules).select(by, "brand", "kind", "priority", conf.alias("confidence")).where("confidence IS NOT NULL")
+    own = rules.withColumn("term", F.lower("marker"))
+    in_text = words_in(whole, "_text", own.where("kind <> 'filename'").select("term")).join(own.where("kind <> 'filename'"), "term")
+    in_name = words_in(whole.select(by, F.lower(by).alias("_text")), "_text", own.where("kind = 'filename'").select("term")).join(own.where("kind = 'filename'"), "term")
+    conf = F.when(F.col("kind") == "domain", 0.95).when(F.col("kind") == "text", 0.9).when((F.col("kind") == "text3") & (F.col("hits") >= 3), 0.85).when(F.col("kind") == "filename", 0.8)
+    found = in_text.unionByName(in_name).select(by, "brand", "kind", "priority", conf.alias("confidence")).where("confidence IS NOT NULL")
     best = found.groupBy(by).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "priority", "brand", "kind")).alias("b"))
     return best.select(by, "b.brand", (-F.col("b.c")).alias("confidence"), "b.kind")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import physics
 from ..functions.names import series_of
 from ..functions.numbers import half_up
+from .wordscan import MAX_WORDS, words_in
 
 
 def histories(outcomes: DataFrame) -> DataFrame:
@@ -61,8 +62,29 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-#: Most words of all recipes together that are broadcast to the pages.
-MAX_TERMS = 100_000
+def fragment(pattern: Column) -> Column:
+    """The longest piece of a file name pattern between its wildcards, the first of equals; empty without one."""
+    pieces = F.split(F.lower(pattern), r"[*?]+")
+    return F.array_min(F.transform(pieces, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))["p"]
+
+
+def _by_name(files: DataFrame, recipes: DataFrame) -> DataFrame:
+    """source_file, recipe_id of the file names that fit a recipe's pattern: those that hold the pattern's longest fragment are
+    found by one automaton of all fragments and then held against the whole pattern. A pattern of wildcards alone fits all that
+    are long enough, so its recipes are dealt to every file."""
+    own = recipes.where("file_pattern IS NOT NULL").select("recipe_id", "file_pattern", fragment(F.col("file_pattern")).alias("term"))
+    named = files.select("source_file", F.lower("source_file").alias("_low"))
+    found = words_in(named, "_low", own.select("term")).join(own.where("term <> ''"), "term").select("source_file", "recipe_id", "file_pattern")
+    wild = own.where("term = ''").agg(F.collect_list(F.struct("recipe_id", "file_pattern")).alias("wild"))
+    if wild.where("size(wild) > 0").isEmpty():
+        every = found.limit(0)
+    else:
+        rows = wild.first()["wild"]
+        if len(rows) > MAX_WORDS:
+            raise ValueError(f"over {MAX_WORDS} patterns without a letter")
+        every = files.select("source_file", F.explode(F.array(*(F.struct(F.lit(r["recipe_id"]).alias("recipe_id"), F.lit(r["file_pattern"]).alias("file_pattern")) for r in rows))).alias("r")).select("source_file", "r.*")
+    fits = F.regexp_like(F.lower("source_file"), glob_regex(F.col("file_pattern")))
+    return found.unionByName(every).where(fits).select("source_file", "recipe_id").distinct()
 
 
 def match(pages: DataFrame, recipes: DataFrame, least: float = 50.0) -> DataFrame:
@@ -70,23 +92,19 @@ def match(pages: DataFrame, recipes: DataFrame, least: float = 50.0) -> DataFram
 
     pages: source_file, text, a row for each page. recipes: recipe_id, file_pattern, keywords (array), signatures (array),
     confidence, failures and, if known, producer: 100 for the file name, 50 for each keyword, 30 for each signature and 20
-    for the producer that any page has. Pages are held against the recipes' words one by one and only the words found go
-    on, so no catalogue's text is joined. The words are broadcast, MAX_TERMS at most; more are an error.
+    for the producer that any page has. An automaton of all words reads each page once and only the words found go on, so no
+    catalogue's text is joined and no recipe is held against a page. The words are sent to the workers, as many as words_in()
+    allows; more are an error.
     """
     term = lambda column, points: recipes.select("recipe_id", F.explode(column).alias("term"), F.lit(points).alias("points"))
     terms = term("keywords", 50).union(term("signatures", 30))
     if "producer" in recipes.columns:
         terms = terms.union(term(F.array("producer"), 20))
     terms = terms.select("recipe_id", F.lower("term").alias("term"), "points").where("term <> ''")
-    if terms.limit(MAX_TERMS + 1).count() > MAX_TERMS:
-        raise ValueError(f"recipes have over {MAX_TERMS} words")
-    words = F.broadcast(terms.select("term").distinct())
-    found = pages.select("source_file", F.lower("text").alias("_low")).join(words, F.contains("_low", "term")).select("source_file", "term").distinct()
-    by_text = found.join(F.broadcast(terms), "term").groupBy("source_file", "recipe_id").agg(F.sum("points").alias("t"))
-    files = pages.select("source_file").distinct()
-    small = F.broadcast(recipes.select("recipe_id", "file_pattern"))
-    by_name = files.join(small, F.regexp_like(F.lower("source_file"), glob_regex(F.col("file_pattern")))).select("source_file", "recipe_id", F.lit(100).alias("f"))
-    both = by_text.join(by_name, ["source_file", "recipe_id"], "full").join(F.broadcast(recipes.select("recipe_id", "failures", "confidence")), "recipe_id")
+    found = words_in(pages.select("source_file", F.lower("text").alias("_low")), "_low", terms.select("term")).select("source_file", "term").distinct()
+    by_text = found.join(terms, "term").groupBy("source_file", "recipe_id").agg(F.sum("points").alias("t"))
+    by_name = _by_name(pages.select("source_file").distinct(), recipes).withColumn("f", F.lit(100))
+    both = by_text.join(by_name, ["source_file", "recipe_id"], "full").join(recipes.select("recipe_id", "failures", "confidence"), "recipe_id")
     score = (F.coalesce("t", F.lit(0)) + F.coalesce("f", F.lit(0))) * F.when(F.col("failures") >= 3, 0.3).when(F.col("failures") >= 2, 0.6).otherwise(1.0) * (F.lit(0.5) + F.col("confidence") * 0.5)
     scored = both.select("source_file", "recipe_id", score.alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("source_file").agg(F.min(F.struct((-F.col("score")).alias("s"), "recipe_id")).alias("b"))

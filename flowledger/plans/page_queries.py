@@ -237,6 +237,22 @@ def _(spark, d):
     return recipes.match(pages(spark, d), rows, least=40.0)
 
 
+PRODUCERS = """rp AS (SELECT * FROM (VALUES ('a', 'src?', ['zzzz'], ['ción', 'and'], 'keit', 0.8, 1), ('b', '*7', ['the', 'the'], NULL, 'nobody', 0.9, 3), ('c', '*', [''], ['und'], NULL, 0.1, 0)) v(recipe_id, pat, kws, sigs, producer, confidence, failures))"""
+
+
+@query(
+    "j17_recipe_match_producer",
+    f"""WITH {PAGES}, {PRODUCERS}, t AS (SELECT DISTINCT source_file, recipe_id, pat, kws, sigs, producer, confidence, failures FROM pages_in, rp),
+    h AS (SELECT t.*, x.w AS w, x.pts AS pts, EXISTS (SELECT 1 FROM pages_in p WHERE p.source_file = t.source_file AND contains(lower(p.text), x.w)) AS hit FROM t, (SELECT recipe_id AS r, unnest(kws) AS w, 50 AS pts FROM rp UNION ALL SELECT recipe_id, unnest(sigs), 30 FROM rp UNION ALL SELECT recipe_id, producer, 20 FROM rp) x WHERE x.r = t.recipe_id AND x.w <> ''),
+    s AS (SELECT t.source_file, t.recipe_id, (coalesce((SELECT sum(pts) FROM h WHERE hit AND h.source_file = t.source_file AND h.recipe_id = t.recipe_id), 0) + CASE WHEN regexp_full_match(t.source_file, replace(replace(pat, '*', '.*'), '?', '.')) THEN 100 ELSE 0 END) * CASE WHEN failures >= 3 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END * (0.5::DOUBLE + confidence::DOUBLE * 0.5::DOUBLE) AS score FROM t)
+    SELECT source_file, recipe_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, recipe_id) AS k FROM s WHERE score >= 30) WHERE k = 1""",
+)
+def _(spark, d):
+    own = [("a", "src?", ["zzzz"], ["ción", "and"], "keit", 0.8, 1), ("b", "*7", ["the", "the"], None, "nobody", 0.9, 3), ("c", "*", [""], ["und"], None, 0.1, 0)]
+    rows = spark.createDataFrame(own, "recipe_id string, file_pattern string, keywords array<string>, signatures array<string>, producer string, confidence double, failures int")
+    return recipes.match(pages(spark, d), rows, least=30.0)
+
+
 @query("q14_page_worklist", f"WITH {PAGES} SELECT source_file, page_num, CASE WHEN regexp_matches(text, '[0-9]') AND contains(text, ' | ') THEN 'validate' WHEN contains(text, ' | ') THEN 'extract' END AS task FROM pages_in WHERE contains(text, ' | ')")
 def _(spark, d):
     t = F.col("text")
