@@ -664,6 +664,13 @@ def _(spark, d):
     return recipes.evaluate(outcomes(spark, d)).select("recipe_id", "uses", "successes", "failures", "action")
 
 
+@query("m2_recipe_state", f"WITH {OUTCOMES}, {RUNS} SELECT recipe_id, uses, CAST(wins AS BIGINT) AS successes, failures, CASE WHEN failures >= 3 OR (uses >= 3 AND wins / uses < 0.5::DOUBLE) THEN 'delete' WHEN uses >= 3 AND wins / uses >= 0.9::DOUBLE THEN 'promote' WHEN uses >= 3 AND wins / uses < 0.7::DOUBLE THEN 'demote' ELSE 'ok' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY ts DESC, event_id DESC) AS r FROM w1) WHERE r = 1")
+def _(spark, d):
+    from ..streaming import jobs
+
+    return jobs.replayed(outcomes(spark, d))
+
+
 @query("v4_recipe_success", f"WITH {ENTRIES}, {O.checked()} SELECT source_file, count(*) >= 1 AND {up('avg(confidence)', 9)} >= 0.68::DOUBLE AND avg(CASE WHEN reason = 'ok' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.8::DOUBLE AS success FROM checked GROUP BY source_file")
 def _(spark, d):
     from ..operators import recipes

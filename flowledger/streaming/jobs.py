@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.files import replace_catalogues
+from ..sources.staging import shared_dir
 
 
 def upsert_catalogues(arriving: DataFrame, path: str, checkpoint: str, by: str = "catalog"):
@@ -23,7 +26,7 @@ def upsert_catalogues(arriving: DataFrame, path: str, checkpoint: str, by: str =
     return arriving.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-STATE = "uses long, successes long, failures long"
+STATE = "uses long, successes long, failures long, ts array<long>, event_id array<long>, success array<boolean>"
 RESULT = "recipe_id long, uses long, successes long, failures long, action string"
 
 
@@ -36,20 +39,60 @@ def action_of(uses: int, successes: int, failures: int) -> str:
 
 
 def _advance(key: tuple, batches, state: GroupState):
-    uses, successes, failures = state.get if state.exists else (0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for good in rows["success"]:
-        uses += 1
-        successes += int(good)
-        failures = 0 if good else failures + 1
-    state.update((uses, successes, failures))
-    yield pd.DataFrame({"recipe_id": [key[0]], "uses": [uses], "successes": [successes], "failures": [failures], "action": [action_of(uses, successes, failures)]})
-
-
-def recipe_states(outcomes: DataFrame) -> DataFrame:
-    """outcomes (recipe_id, event_id, ts, success), a stream in order of time from batch to batch: a row for each recipe in a
-    batch with its uses, successes, consecutive failures and action so far. Inside a batch events are put in order."""
-    return outcomes.groupBy("recipe_id").applyInPandasWithState(_advance, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Folds the events up to the watermark, in order of time, and holds the others back; all of a key's at once."""
+    uses, successes, failures, *held = state.get if state.exists else (0, 0, 0, [], [], [])
+    rows = [pd.DataFrame({"ts": np.asarray(held[0], np.int64), "event_id": np.asarray(held[1], np.int64), "success": np.asarray(held[2], bool)})]
+    if not state.hasTimedOut:
+        rows += [pd.DataFrame({"ts": x["ts"].astype("datetime64[us]").astype("int64"), "event_id": x["event_id"], "success": x["success"].astype(bool)}) for x in batches]
+    rows = pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")
+    upto = state.getCurrentWatermarkMs()
+    ready = rows["ts"].to_numpy() < upto * 1000
+    good, rest = rows["success"].to_numpy()[ready], rows[~ready]
+    uses, successes = uses + len(good), successes + int(good.sum())
+    won = np.flatnonzero(good)
+    failures = len(good) - 1 - int(won[-1]) if len(won) else failures + len(good)
+    state.update((uses, successes, failures, rest["ts"].tolist(), rest["event_id"].tolist(), rest["success"].tolist()))
+    if len(rest):
+        state.setTimeoutTimestamp(max(int(rest["ts"].iloc[0]) // 1000, upto) + 1)
+    if len(good):
+        yield pd.DataFrame({"recipe_id": [key[0]], "uses": [uses], "successes": [successes], "failures": [failures], "action": [action_of(uses, successes, failures)]})
+
+
+def recipe_states(outcomes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """outcomes (recipe_id, event_id, ts, success), a stream whose events come late by less than late: a row for a recipe, each time
+    that the watermark has passed some of its events, with its uses, successes, consecutive failures and action up to there.
+    Events are folded in order of ts and event_id whatever order they come in: what comes too early is held in the state until
+    the watermark passes it. The events after the last watermark stay in the state."""
+    own = outcomes.withWatermark("ts", late)
+    return own.groupBy("recipe_id").applyInPandasWithState(_advance, RESULT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def replayed(outcomes: DataFrame, parts: int = 4) -> DataFrame:
+    """Where each recipe stands after a table of outcomes went through recipe_states() as a stream: file by file, each with the
+    rows of one of parts spans of time in no order, so that events come late by up to two spans. An event of no recipe (null)
+    far after all others lets the watermark pass the last ones."""
+    spark = outcomes.sparkSession
+    folder, out = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}", f"{shared_dir(spark)}/replayed-{uuid.uuid4().hex}"
+    own = outcomes.select(F.col("recipe_id").cast("long").alias("recipe_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "success").where("recipe_id IS NOT NULL")
+    span = own.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    if span["a"] is None:
+        return spark.createDataFrame([], RESULT)
+    share = (F.col("ts").cast("double") - F.lit(span["a"]).cast("double")) / (F.lit(span["b"]).cast("double") - F.lit(span["a"]).cast("double") + 1)
+    for k in range(parts):
+        own.where(F.floor(share * parts) == k).sort(F.hash("event_id")).write.mode("append").parquet(f"{folder}/part={k}")
+    end = own.limit(1).select(F.lit(None).cast("long").alias("recipe_id"), F.lit(-1).cast("long").alias("event_id"), (F.lit(span["b"]) + F.make_dt_interval(F.lit(3650))).alias("ts"), F.lit(True).alias("success"))
+    end.write.mode("append").parquet(f"{folder}/part={parts}")
+    late = f"{2 * int((span['b'] - span['a']).total_seconds() / parts) + 2} seconds"
+    stream = spark.readStream.schema(own.schema).option("recursiveFileLookup", "true").option("latestFirst", "false").option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = recipe_states(stream, late).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(RESULT).parquet(out).where("recipe_id IS NOT NULL")
+    last = found.groupBy("recipe_id").agg(F.max("uses").alias("uses"))
+    return found.join(last, ["recipe_id", "uses"]).dropDuplicates(["recipe_id"]).select("recipe_id", "uses", "successes", "failures", "action")
 
 
 def fresh_tasks(tasks: DataFrame, by: list[str], at: str = "ts", keep: str = "30 days") -> DataFrame:
