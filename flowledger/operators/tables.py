@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
 from ..functions.units import convert
+from ..sources.staging import staged
 
 # Header words of each field, in the order in which equal scores are settled.
 HEADER_WORDS = {
@@ -217,21 +218,41 @@ def sequential_pick(results: DataFrame, by: list[str]) -> DataFrame:
 
 
 def span_rows(spans: DataFrame, by: list[str], tolerance: float = 3.0) -> DataFrame:
-    """Spans (y, x, text) of a page to rows: a span joins the row whose first span is within the tolerance above it, else it
-    starts a row. The rule looks back to the first span of the open row, so each page is walked in order in one group; a
-    page's spans are few."""
-    schema = ", ".join(f"{n} {t}" for n, t in spans.select(*by, "y", "x", "text").dtypes) + ", row_no int, col_no int"
-
-    def walk(page):
-        page = page.sort_values(["y", "x", "text"], kind="stable").reset_index(drop=True)
-        row, anchor, numbers = -1, None, []
-        for y in page["y"]:
-            if anchor is None or y - anchor > tolerance:
-                row, anchor = row + 1, y
-            numbers.append(row)
-        page["row_no"] = numbers
-        page = page.sort_values(["row_no", "x", "text"], kind="stable")
-        page["col_no"] = page.groupby("row_no").cumcount()
-        return page.astype({"row_no": "int32", "col_no": "int32"})
-
-    return spans.select(*by, "y", "x", "text").groupBy(*by).applyInPandas(walk, schema)
+    """Spans (y, x, text) of a page to rows: by, y, x, text, row_no, col_no (by x, then text). From the topmost span on, a span joins
+    the row whose first span is at most tolerance (over 0) above it, else it starts a row. Spans with a null y, or a null page,
+    are left out.
+
+    Every height points to the next one beyond its tolerance: pages are cut into strips as high as the tolerance, and within a
+    strip heights and the ends of reaches from the strip before are merged in one order. The heights that start rows are those
+    that the pointers reach from the topmost; each round doubles how far they reach, so a page of n rows takes log2(n) rounds.
+    No page is gathered in one task: what meets is a strip, a row, or the strips of a page (a number each).
+    """
+    keys = [F.col(x) for x in by]
+    page = Window.partitionBy(*by)
+    strip = lambda y: F.floor(y / tolerance)
+    known = spans.select(*by, F.col("y").cast("double").alias("y"), "x", "text").where(F.col("y").isNotNull())
+    for x in by:
+        known = known.where(F.col(x).isNotNull())
+    heights = staged(known.select(*by, "y").distinct().withColumn("s", strip(F.col("y"))), "heights")
+    # the lowest height of the strips after the next one
+    strips = heights.groupBy(*by, "s").agg(F.min("y").alias("top"))
+    later = strips.withColumns({"n1": F.lead("s").over(page.orderBy("s")), "t1": F.lead("top").over(page.orderBy("s")), "t2": F.lead("top", 2).over(page.orderBy("s"))})
+    later = later.select(*by, "s", F.when(F.col("n1") > F.col("s") + 1, F.col("t1")).otherwise(F.col("t2")).alias("far"))
+    # the first height in the next strip that is beyond the reach: heights and reaches in one order, from below
+    reach = heights.select(*by, (F.col("s") + 1).alias("s"), (F.col("y") + tolerance).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("to"), F.col("y").alias("own"))
+    both = reach.unionByName(heights.select(*by, "s", F.col("y").alias("at"), F.lit(1).alias("kind"), F.col("y").alias("to"), F.lit(None).cast("double").alias("own")))
+    below = Window.partitionBy(*by, "s").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.last("to", ignorenulls=True).over(below)).where("kind = 0").select(*by, F.col("own").alias("y"), "near")
+    pointers = heights.join(near, [*by, "y"]).join(later, [*by, "s"]).select(*by, "y", F.coalesce("near", "far").alias("p"))
+    pointers = staged(pointers.where("p IS NOT NULL"), "pointers")
+    starts = staged(heights.groupBy(*by).agg(F.min("y").alias("y")), "starts")
+    while not pointers.isEmpty():
+        more = starts.join(pointers, [*by, "y"]).select(*by, F.col("p").alias("y"))
+        starts = staged(starts.unionByName(more).distinct(), "starts")
+        beyond = pointers.select(*by, F.col("y").alias("p"), F.col("p").alias("q"))
+        pointers = staged(pointers.join(beyond, [*by, "p"]).select(*by, "y", F.col("q").alias("p")), "pointers")
+    rows = starts.withColumn("row_no", (F.row_number().over(page.orderBy("y")) - 1).cast("int"))
+    rows = rows.select(*by, F.col("y").alias("start"), "row_no", F.explode(F.array(strip(F.col("y")), strip(F.col("y")) + 1)).alias("s"))
+    own = known.withColumn("s", strip(F.col("y"))).join(rows, [*by, "s"]).where((F.col("y") >= F.col("start")) & (F.col("y") - F.col("start") <= tolerance))
+    place = F.row_number().over(Window.partitionBy(*by, "row_no").orderBy("x", "text")) - 1
+    return own.select(*keys, "y", "x", "text", "row_no", place.cast("int").alias("col_no"))

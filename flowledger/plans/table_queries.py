@@ -247,7 +247,14 @@ def _(spark, d):
     return best.select("source_page", "b.data_source", "b.score")
 
 
-@query("p14_spans_to_rows")
+@query(
+    "p14_spans_to_rows",
+    """WITH RECURSIVE sp AS (SELECT l_orderkey % 500 AS page, l_quantity * 2 AS y, l_extendedprice AS x, l_returnflag AS text FROM lineitem), h AS (SELECT DISTINCT page, y FROM sp),
+    nxt AS (SELECT h.page, h.y, min(k.y) AS p FROM h JOIN h k ON h.page = k.page AND k.y - h.y > 3.0::DOUBLE GROUP BY ALL),
+    a AS (SELECT page, min(y) AS y FROM h GROUP BY page UNION ALL SELECT a.page, p FROM a JOIN nxt ON a.page = nxt.page AND a.y = nxt.y),
+    n AS (SELECT page, y, lead(y) OVER w AS upto, CAST(row_number() OVER w - 1 AS INTEGER) AS row_no FROM a WINDOW w AS (PARTITION BY page ORDER BY y))
+    SELECT sp.page, sp.y, x, text, row_no, CAST(row_number() OVER (PARTITION BY sp.page, row_no ORDER BY x, text) - 1 AS INTEGER) AS col_no FROM sp JOIN n ON sp.page = n.page AND sp.y >= n.y AND (n.upto IS NULL OR sp.y < n.upto)""",
+)
 def _(spark, d):
     """Spans at the places of a supplier's line items; rows follow from the first span of the open row."""
     spans = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("page"), (F.col("l_quantity") * 2).alias("y"), F.col("l_extendedprice").alias("x"), F.col("l_returnflag").alias("text"))
