@@ -139,8 +139,12 @@ def same_point(entries: DataFrame, order: tuple[str, ...] = ("seq", "q_nom", "h_
 GATES = ("min_models", "avg_confidence", "physics_rate", "low_conf_ratio", "consistency")
 
 
-def quality_gates(entries: DataFrame, catalog: str = "source_file", pages: str = "source_page") -> DataFrame:
-    """A row for each catalogue and gate: gate, value, verdict (pass, warn or fail), and overall, the worst of the five."""
+def quality_gates(entries: DataFrame, catalog: str = "source_file", pages: str = "source_page", processed: DataFrame | None = None) -> DataFrame:
+    """A row for each catalogue and gate: gate, value, verdict (pass, warn or fail), and overall, the worst of the five.
+
+    Two models are expected for ten pages: of processed (catalogue, page: all pages that were read, also those without records),
+    else of the pages that gave records. A catalogue that is in processed only has no records and fails.
+    """
     entries = physics.with_checks(entries)
     positive = lambda x: F.when(F.col(x) > 0, F.col(x))
     spans = {x: F.when(F.count(positive(x)) >= 3, F.max(positive(x)) / F.min(positive(x))) for x in ("q_nom", "h_nom", "power_kw")}
@@ -152,6 +156,9 @@ def quality_gates(entries: DataFrame, catalog: str = "source_file", pages: str =
         F.avg((F.col("confidence") < 0.4).cast("double")).alias("low"),
         *(c.alias(f"span_{x}") for x, c in spans.items()),
     )
+    if processed is not None:
+        read = processed.groupBy(catalog).agg(F.countDistinct(pages).alias("_read"))
+        stats = stats.join(read, catalog, "full").withColumns({"n_pages": F.coalesce("_read", "n_pages"), **{x: F.coalesce(x, F.lit(0)) for x in ("n", "mean", "rate")}, "low": F.coalesce("low", F.lit(1.0))}).drop("_read")
     expected = F.greatest(F.lit(1.0), F.col("n_pages") / 10 * 2)
     wide = sum((F.coalesce(F.col(f"span_{x}") > 1000, F.lit(False)).cast("int") for x in spans), F.lit(0))
     verdict = lambda good, fair: F.when(good, "pass").when(fair, "warn").otherwise("fail")

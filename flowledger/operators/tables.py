@@ -10,22 +10,31 @@ from ..functions.numbers import parse_number
 from ..functions.units import convert
 from ..sources.staging import staged
 
-# Header words of each field, in the order in which equal scores are settled.
+# Header words of each field in six languages, in the order in which equal scores are settled.
 HEADER_WORDS = {
     "model": [
         "модель", "тип", "насос", "наименование", "обозначение", "марка", "model", "type", "pump", "designation", "name", "item", "modell", "typ", "pumpe", "bezeichnung", "baureihe",
         "modello", "tipo", "pompa", "denominazione", "modèle", "pompe", "désignation", "modelo", "bomba", "denominación",
     ],
-    "article": ["артикул", "код", "article", "code", "part number", "artikel", "codice", "référence"],
-    "q_nom": ["подача", "расход", "производительность", "flow", "capacity", "delivery", "förderstrom", "portata", "débit", "caudal"],
-    "h_nom": ["напор", "head", "förderhöhe", "prevalenza", "hauteur", "altura"],
-    "power_kw": ["мощность", "power", "leistung", "potenza", "puissance", "potencia"],
-    "rpm": ["об/мин", "частота вращения", "rpm", "speed", "drehzahl", "velocità", "vitesse"],
-    "voltage": ["напряжение", "voltage", "spannung", "tensione", "tension"],
-    "efficiency": ["кпд", "efficiency", "wirkungsgrad", "rendimento", "rendement"],
-    "weight_kg": ["масса", "вес", "weight", "gewicht", "peso", "poids"],
-    "dn_suction": ["всасывание", "suction", "saug", "aspirazione"],
-    "stages": ["ступени", "stages", "stufen", "stadi"],
+    "q_nom": [
+        "подача", "расход", "производительность", "объёмная подача", "flow", "capacity", "delivery", "discharge", "flow rate", "förderstrom", "fördermenge", "volumenstrom", "durchfluss",
+        "portata", "portata nominale", "débit", "débit nominal", "caudal", "caudal nominal",
+    ],
+    "h_nom": [
+        "напор", "высота подачи", "давление нагнетания", "head", "total head", "delivery head", "discharge head", "förderhöhe", "druckhöhe", "gesamtförderhöhe",
+        "prevalenza", "altezza manometrica", "hauteur", "hauteur manométrique", "altura", "altura manométrica",
+    ],
+    "power_kw": [
+        "мощность", "мощн", "потребляемая мощность", "power", "motor power", "rated power", "shaft power", "input power", "leistung", "motorleistung", "nennleistung", "wellenleistung",
+        "potenza", "potenza motore", "potenza nominale", "puissance", "puissance moteur", "potencia", "potencia motor",
+    ],
+    "rpm": ["обороты", "частота вращения", "скорость", "speed", "rpm", "rotational speed", "rev/min", "drehzahl", "nenndrehzahl", "velocità", "giri/min", "vitesse", "tours/min", "velocidad"],
+    "article": ["артикул", "код", "каталожный номер", "номер заказа", "article", "code", "part number", "order number", "catalog number", "item no", "artikelnummer", "bestellnummer", "katalognummer", "codice", "articolo", "numero d'ordine"],
+    "dn": ["dn", "ду", "патрубок", "присоединение", "фланец", "flange", "connection", "port size", "inlet", "outlet", "suction", "discharge", "anschluss", "nennweite", "saugstutzen", "druckstutzen"],
+    "weight": ["масса", "вес", "weight", "mass", "net weight", "gewicht", "masse", "peso", "massa"],
+    "npsh": ["npsh", "кавитационный запас", "npshr", "npsh required", "haltedruckhöhe"],
+    "efficiency": ["кпд", "эффективность", "efficiency", "eta", "η", "wirkungsgrad", "rendimento"],
+    "stages": ["stages", "ступени", "stufen", "stadi"],
 }
 SYMBOLS = {"q_nom": "Q", "h_nom": "H", "power_kw": "P"}
 DIMENSIONS = ["b", "l", "d", "a", "h1", "h2", "b1", "b2", "l1", "l2", "d1", "d2", "a1", "a2"]
@@ -33,21 +42,24 @@ NEGATIVE = ["npsh", "кавитац", "габарит", "dimension", "abmessung"
 # Shapes of model names, and of values that are none (article, voltage, flange, classes, sizes, duty, share).
 POSITIVE_SHAPES = r"[A-ZА-ЯЁ]{2,}[\s\-]?\d+|[A-Z]{1,5}\d{1,3}[\-/]\d{1,3}|[A-Z]{2,}\s+\d+[\-/]\d+[\-/]\d+"
 NEGATIVE_SHAPES = r"^(\d{6,10}$|[123]~\s?\d{3}\s?V|DN\s?\d+$|IE[1-5]$|IP\s?\d{2}$|[A-F]$|\d+\s*(кг|kg|мм|mm|°C)$|(S1|S2|S3|S6)$|\d+(\.\d+)?\s*%$)"
-RPM_VALUES = [720, 960, 970, 980, 1450, 1475, 1480, 2850, 2900, 2950, 2960, 2970, 3500]
+# Speeds of motors, and the start of a model's name.
+RPM_VALUES = [960, 980, 1000, 1450, 1475, 1500, 1750, 2900, 2950, 3000, 3450, 3500, 3600]
 MODEL_TEXT = r"^[A-ZА-ЯЁ][A-Za-zА-Яа-яЁё]*[\s\-_]?\d"
 
 
-def clean_header(text: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.regexp_replace(text, r"[\n\r]", " ")), r"\s+", " ")
+def clean_header(text: Column, breaks: str = " ") -> Column:
+    """Small letters, single blanks, without what stands in brackets; breaks takes the place of line breaks."""
+    s = F.trim(F.regexp_replace(F.trim(F.lower(F.regexp_replace(text, r"[\n\r]", breaks))), r"\s+", " "))
     return F.trim(F.regexp_replace(s, r"\s*[(\[].*?[)\]]\s*", " "))
 
 
 def header_field(text: Column, words: dict[str, list[str]] = HEADER_WORDS) -> Column:
-    """struct(field, score): the field with the longest word in the header, or 5 for its bare symbol; null without one."""
-    h = clean_header(text)
+    """struct(field, score): the field with the longest word in the header, or 5 for its bare symbol; null without one. A line
+    break counts as a blank, or as nothing where it tears a word."""
+    h, joined = clean_header(text), clean_header(text, "")
     scores = []
     for i, (field, own) in enumerate(words.items()):
-        by_word = F.array_max(F.transform(F.array(*map(F.lit, own)), lambda w: F.when(F.contains(h, w), F.length(w)).otherwise(0)))
+        by_word = F.array_max(F.transform(F.array(*map(F.lit, own)), lambda w: F.when(F.contains(h, w) | F.contains(joined, w), F.length(w)).otherwise(0)))
         if field in SYMBOLS:
             by_word = F.greatest(by_word, F.when(h.rlike(f"(?i)^{SYMBOLS[field]}([^a-zA-Z]|$)"), 5).otherwise(0))
         scores.append(F.struct(by_word.alias("score"), F.lit(-i).alias("place"), F.lit(field).alias("field")))
@@ -55,6 +67,13 @@ def header_field(text: Column, words: dict[str, list[str]] = HEADER_WORDS) -> Co
     return F.when(best["score"] > 0, F.struct(best["field"].alias("field"), best["score"].alias("score")))
 
 
+def match_headers(headers: DataFrame, words: dict[str, list[str]] = HEADER_WORDS) -> DataFrame:
+    """headers (text and others) with field and score, null without one. Tables repeat their headers, so each different text is
+    matched once and met in a join."""
+    own = headers.select("text").distinct().select("text", header_field(F.col("text"), words).alias("_f"))
+    return headers.join(own, "text", "left").select(*headers.columns, "_f.field", "_f.score")
+
+
 def infer_from_values(cells: DataFrame, rpm_values: list[int] = RPM_VALUES) -> DataFrame:
     """table_id, col_id, field: what a column without a telling header holds by its values: model, article or rpm."""
     text = F.trim("text")
@@ -80,11 +99,25 @@ def resolve_columns(found: DataFrame) -> DataFrame:
     return best.select("table_id", "field", "b.col_id", (-F.col("b.s")).alias("score"))
 
 
-def reject_dimension_tables(headers: DataFrame, least: int = 3, negative: list[str] = NEGATIVE) -> DataFrame:
-    """table_id of tables whose headers don't speak of dimensions, cavitation or accessories."""
+def reject_dimension_tables(headers: DataFrame, least: int = 3, negative: list[str] = NEGATIVE, texts: DataFrame | None = None, look: int = 500) -> DataFrame:
+    """table_id of tables that have fewer than least different headers of dimensions, and whose headers, and the first look
+    characters of their page (texts: table_id, text), don't speak of dimensions, cavitation or accessories."""
+    low = F.lower(F.trim("text"))
+    bad = lambda t: F.exists(F.array(*map(F.lit, negative)), lambda w: F.contains(t, w))
+    told = headers.groupBy("table_id").agg(F.countDistinct(F.when(low.isin(DIMENSIONS), low)).alias("d"), F.bool_or(bad(low)).alias("n")).where((F.col("d") < least) & ~F.col("n")).select("table_id")
+    if texts is None:
+        return told
+    return told.join(texts.where(bad(F.lower(F.substring("text", 1, look)))).select("table_id"), "table_id", "left_anti")
+
+
+def drop_heights(columns: DataFrame, headers: DataFrame, least: int = 2) -> DataFrame:
+    """columns (table_id, col_id, field and others) without the heads that are heights: their header names millimetres, or least
+    different headers of the table are dimensions. Other fields stay."""
     low = F.lower(F.trim("text"))
-    bad = F.exists(F.array(*map(F.lit, negative)), lambda w: F.contains(low, w))
-    return headers.groupBy("table_id").agg(F.count_if(low.isin(DIMENSIONS)).alias("d"), F.bool_or(bad).alias("n")).where((F.col("d") < least) & ~F.col("n")).select("table_id")
+    sized = headers.groupBy("table_id").agg(F.countDistinct(F.when(low.isin(DIMENSIONS), low)).alias("_d")).where(F.col("_d") >= least).select("table_id")
+    small = headers.where(F.lower("text").rlike("mm|мм")).select("table_id", "col_id")
+    heads = columns.where("field = 'h_nom'").join(sized, "table_id", "left_anti").join(small, ["table_id", "col_id"], "left_anti")
+    return columns.where("field IS NULL OR field <> 'h_nom'").unionByName(heads.select(*columns.columns))
 
 
 def is_pump_table(columns: DataFrame, cells: DataFrame, numeric_share: float = 0.3) -> DataFrame:
@@ -118,13 +151,16 @@ def transpose_spec(cells: DataFrame, labels: DataFrame, params: list[str]) -> Da
 
 
 def is_transposed(cells: DataFrame, words: list[str], first: int = 10) -> DataFrame:
-    """table_id, transposed, confidence: parameter words in three of the first rows' first cells, or in two and over 30 %."""
+    """table_id, transposed, confidence: parameter words in three of the first rows' first cells, or in two and over 30 % of all
+    rows' first cells."""
     order = Window.partitionBy("table_id").orderBy("row_id")
-    heads = cells.where("col_id = 0").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= first)
     hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("text"), w))
-    counted = heads.groupBy("table_id").agg(F.count_if(hit).alias("k"), F.count("*").alias("n"))
-    many, some = F.col("k") >= 3, (F.col("k") >= 2) & (F.col("k") > F.col("n") * 0.3)
-    return counted.select("table_id", (many | some).alias("transposed"), F.when(many, F.least(F.lit(0.95), F.lit(0.6) + F.col("k") * 0.1)).when(some, 0.8).otherwise(0.0).alias("confidence"))
+    heads = cells.where("col_id = 0").select("table_id", "row_id", F.coalesce(hit, F.lit(False)).alias("hit"))
+    counted = heads.groupBy("table_id").agg(F.count_if("hit").alias("k"), F.count("*").alias("n"))
+    early = heads.withColumn("_place", F.row_number().over(order)).where((F.col("_place") <= first) & F.col("hit")).groupBy("table_id").agg(F.count("*").alias("e"))
+    counted = counted.join(early, "table_id", "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    many, some = F.col("e") >= 3, (F.col("k") >= 2) & (F.col("k") > F.col("n") * 0.3)
+    return counted.select("table_id", (many | some).alias("transposed"), F.when(many, F.least(F.lit(0.95), F.lit(0.6) + F.col("e") * 0.1)).when(some, 0.8).otherwise(0.0).alias("confidence"))
 
 
 def numeric_runs(cells: DataFrame, least: int = 5) -> DataFrame:

@@ -482,6 +482,16 @@ gt AS (SELECT source_file, unnest([
 GATES_ENTRIES = GATES_SQL.format(source="checked", m6=up("mean", 6), m9=up("mean", 9), r6=up("rate", 6), l6=up("low", 6))
 
 
+GATES_PAGES = GATES_ENTRIES.replace("count(DISTINCT source_page) AS np", "any_value(np) AS np")
+
+
+@query("g4_gates_by_pages", f"WITH {ENTRIES}, {O.checked()}, pr AS (SELECT concat('s', l_suppkey) AS source_file, count(DISTINCT l_orderkey) AS np FROM lineitem GROUP BY 1), cp AS (SELECT * FROM checked JOIN pr USING (source_file)), {GATES_PAGES.replace('FROM checked', 'FROM cp')} SELECT source_file, CASE WHEN bool_or(g.verdict = 'fail') OVER w THEN 'fail' WHEN bool_or(g.verdict = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, g.gate AS gate, g.value AS value, g.verdict AS verdict FROM gt WINDOW w AS (PARTITION BY source_file) UNION ALL SELECT 'empty', 'fail', unnest(['min_models', 'avg_confidence', 'physics_rate', 'low_conf_ratio', 'consistency']), unnest([0.0::DOUBLE, 0.0, 0.0, 1.0, 0.0]), unnest(['fail', 'fail', 'fail', 'fail', 'pass'])")
+def _(spark, d):
+    read = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_file"), F.col("l_orderkey").alias("source_page"))
+    read = read.unionByName(table(spark, d, "region").select(F.lit("empty").alias("source_file"), F.col("r_regionkey").cast("long").alias("source_page")))
+    return quality.quality_gates(entries(spark, d), processed=read)
+
+
 @query("g4_quality_gates", f"WITH {ENTRIES}, {O.checked()}, {GATES_ENTRIES} SELECT source_file, CASE WHEN bool_or(g.verdict = 'fail') OVER w THEN 'fail' WHEN bool_or(g.verdict = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, g.gate AS gate, g.value AS value, g.verdict AS verdict FROM gt WINDOW w AS (PARTITION BY source_file)")
 def _(spark, d):
     return quality.quality_gates(entries(spark, d))

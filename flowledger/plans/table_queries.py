@@ -64,6 +64,73 @@ def _(spark, d):
     return headers(spark, d).select("table_id", "col_id", T.header_field(F.col("text")).alias("f")).where("f IS NOT NULL").select("table_id", "col_id", "f.field", "f.score")
 
 
+# the words of each field, written out again: field, place of the field, words
+WORDS_SQL = """kw AS (SELECT f, i, unnest(string_split(ws, '|')) AS w FROM (VALUES
+('model', 0, 'модель|тип|насос|наименование|обозначение|марка|model|type|pump|designation|name|item|modell|typ|pumpe|bezeichnung|baureihe|modello|tipo|pompa|denominazione|modèle|pompe|désignation|modelo|bomba|denominación'),
+('q_nom', 1, 'подача|расход|производительность|объёмная подача|flow|capacity|delivery|discharge|flow rate|förderstrom|fördermenge|volumenstrom|durchfluss|portata|portata nominale|débit|débit nominal|caudal|caudal nominal'),
+('h_nom', 2, 'напор|высота подачи|давление нагнетания|head|total head|delivery head|discharge head|förderhöhe|druckhöhe|gesamtförderhöhe|prevalenza|altezza manometrica|hauteur|hauteur manométrique|altura|altura manométrica'),
+('power_kw', 3, 'мощность|мощн|потребляемая мощность|power|motor power|rated power|shaft power|input power|leistung|motorleistung|nennleistung|wellenleistung|potenza|potenza motore|potenza nominale|puissance|puissance moteur|potencia|potencia motor'),
+('rpm', 4, 'обороты|частота вращения|скорость|speed|rpm|rotational speed|rev/min|drehzahl|nenndrehzahl|velocità|giri/min|vitesse|tours/min|velocidad'),
+('article', 5, 'артикул|код|каталожный номер|номер заказа|article|code|part number|order number|catalog number|item no|artikelnummer|bestellnummer|katalognummer|codice|articolo|numero d''ordine'),
+('dn', 6, 'dn|ду|патрубок|присоединение|фланец|flange|connection|port size|inlet|outlet|suction|discharge|anschluss|nennweite|saugstutzen|druckstutzen'),
+('weight', 7, 'масса|вес|weight|mass|net weight|gewicht|masse|peso|massa'), ('npsh', 8, 'npsh|кавитационный запас|npshr|npsh required|haltedruckhöhe'),
+('efficiency', 9, 'кпд|эффективность|efficiency|eta|η|wirkungsgrad|rendimento'), ('stages', 10, 'stages|ступени|stufen|stadi')) v(f, i, ws))"""
+# each word as it is, in capitals, and torn by a line break; and the bare symbols
+WORD_HEADS = "wh AS (SELECT s_suppkey AS table_id, w, CASE s_suppkey % 3 WHEN 0 THEN concat(w, ' [kW]') WHEN 1 THEN concat('  ', upper(w)) ELSE concat(substr(w, 1, 2), chr(10), substr(w, 3)) END AS text FROM supplier, (SELECT DISTINCT w FROM kw) UNION ALL SELECT s_suppkey, s, s FROM supplier, (SELECT unnest(['Q', 'q, m3/h', 'H1', 'P2 (kW)', 'Hx', '', 'x']) AS s))"
+
+
+@query(
+    "t1_header_words",
+    f"""WITH {WORDS_SQL}, {WORD_HEADS}, c AS (SELECT *, trim(regexp_replace(regexp_replace(trim(lower(replace(text, chr(10), ' '))), '\s+', ' ', 'g'), '\s*[(\[].*?[)\]]\s*', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(trim(lower(replace(text, chr(10), ''))), '\s+', ' ', 'g'), '\s*[(\[].*?[)\]]\s*', ' ', 'g')) AS b FROM wh),
+    m AS (SELECT table_id, c.w, c.text, f, i, length(kw.w) AS score FROM c JOIN kw ON contains(a, kw.w) OR contains(b, kw.w) UNION ALL SELECT table_id, w, text, f, i, 5 FROM c, (VALUES ('q_nom', 1, 'q'), ('h_nom', 2, 'h'), ('power_kw', 3, 'p')) v(f, i, sym) WHERE regexp_matches(a, concat('^', sym, '([^a-z]|$)')))
+    SELECT table_id, w, field, score FROM (SELECT table_id, w, f AS field, score, row_number() OVER (PARTITION BY table_id, w ORDER BY score DESC, i) AS r FROM m) WHERE r = 1""",
+)
+def _(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id"))
+    words = F.array(*map(F.lit, dict.fromkeys(w for own in T.HEADER_WORDS.values() for w in own)))
+    w, k = F.col("w"), F.col("table_id") % 3
+    rows = s.select("table_id", F.explode(words).alias("w"))
+    rows = rows.withColumn("text", F.when(k == 0, F.concat(w, F.lit(" [kW]"))).when(k == 1, F.concat(F.lit("  "), F.upper(w))).otherwise(F.concat(F.substring("w", 1, 2), F.lit("\n"), F.substring("w", 3, 99))))
+    bare = s.select("table_id", F.explode(F.array(*map(F.lit, ["Q", "q, m3/h", "H1", "P2 (kW)", "Hx", "", "x"]))).alias("w")).withColumn("text", F.col("w"))
+    return T.match_headers(rows.unionByName(bare)).where("field IS NOT NULL").select("table_id", "w", "field", "score")
+
+
+# tables of suppliers: heads in mm, two dimensions, a dimension twice, and page texts
+HEIGHTS = ["H, m", "H (mm)", "H", "Напор, мм", "head"]
+HEIGHT_SQL = f"""hs AS (SELECT s_suppkey AS table_id, s_suppkey % 5 AS k, {HEIGHTS}[s_suppkey % 5 + 1] AS h, CASE s_suppkey % 4 WHEN 0 THEN ['A', 'B'] WHEN 1 THEN ['A', ' a '] WHEN 2 THEN ['L1', 'D2', 'B'] ELSE ['Q', 'x'] END AS ds FROM supplier)"""
+
+
+@query("t7_drop_heights", f"WITH {HEIGHT_SQL} SELECT table_id, 0 AS col_id, 'model' AS field FROM hs UNION ALL SELECT table_id, 1, 'h_nom' FROM hs WHERE NOT contains(lower(h), 'mm') AND NOT contains(lower(h), 'мм') AND table_id % 4 IN (1, 3)")
+def _(spark, d):
+    heads, columns = height_tables(spark, d)
+    return T.drop_heights(columns, heads)
+
+
+def height_tables(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id"))
+    of = lambda rows: F.element_at(F.array(*(F.array(*map(F.lit, r)) for r in rows)), (F.col("table_id") % 4 + 1).cast("int"))
+    dims = s.select("table_id", F.posexplode(of([["A", "B"], ["A", " a "], ["L1", "D2", "B"], ["Q", "x"]])).alias("i", "text")).select("table_id", (F.col("i") + 2).alias("col_id"), "text")
+    head = s.select("table_id", F.lit(1).alias("col_id"), F.element_at(F.array(*map(F.lit, HEIGHTS)), (F.col("table_id") % 5 + 1).cast("int")).alias("text"))
+    columns = s.select("table_id", F.inline(F.array(F.struct(F.lit(0).alias("col_id"), F.lit("model").alias("field")), F.struct(F.lit(1).alias("col_id"), F.lit("h_nom").alias("field")))))
+    return head.unionByName(dims), columns
+
+
+@query("t7_reject_by_page", "SELECT s_suppkey AS table_id FROM supplier WHERE s_suppkey % 4 <> 2 AND s_suppkey % 7 <> 3")
+def _(spark, d):
+    heads, _ = height_tables(spark, d)
+    k = F.col("s_suppkey") % 7
+    text = F.when(k == 3, "Spare parts of pumps").when(k == 4, F.concat(F.repeat(F.lit("x"), 600), F.lit(" installation"))).otherwise("Performance")
+    return T.reject_dimension_tables(heads, texts=table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id"), text.alias("text")))
+
+
+@query("t5_speeds", "SELECT s_suppkey AS table_id, c AS col_id, CASE WHEN c < 3 THEN 'rpm' END AS field FROM supplier, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS c) WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+def _(spark, d):
+    line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_partkey").alias("row_id"), F.col("l_linenumber").alias("n"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n") % len(values) + 1)
+    texts = F.array(pick(["960", "980", "1000", "1450", "1475"]), pick(["1500", "1750", "2900", "2950"]), pick(["3000", "3450", "3500", "3600"]), pick(["720", "1480", "2960"]))
+    return T.infer_from_values(line.select("table_id", "row_id", F.posexplode(texts).alias("col_id", "text")))
+
+
 @query("t2_header_unit", f"WITH {HEADERS} SELECT table_id, col_id, CASE col_id WHEN 1 THEN 'm3/h' END AS q_unit, CASE col_id WHEN 3 THEN 'kw' END AS p_unit FROM headers")
 def _(spark, d):
     return headers(spark, d).select("table_id", "col_id", unit_in(F.col("text"), "q").alias("q_unit"), unit_in(F.col("text"), "p").alias("p_unit"))
@@ -144,7 +211,7 @@ def _(spark, d):
     return T.unpivot_matrix(own, axis).select("table_id", "row_id", F.size("q_points").cast("long").alias("n"), "q_nom", "h_nom")
 
 
-@query("t14_detect_transposed", "SELECT l_suppkey AS table_id, count(*) FILTER (r % 2 = 0) >= 3 OR (count(*) FILTER (r % 2 = 0) >= 2 AND count(*) FILTER (r % 2 = 0) > count(*) * 0.3::DOUBLE) AS transposed FROM (SELECT l_suppkey, l_partkey AS r, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE k <= 10 GROUP BY 1")
+@query("t14_detect_transposed", "SELECT l_suppkey AS table_id, count(*) FILTER (r % 2 = 0 AND k <= 10) >= 3 OR (count(*) FILTER (r % 2 = 0) >= 2 AND count(*) FILTER (r % 2 = 0) > count(*) * 0.3::DOUBLE) AS transposed FROM (SELECT l_suppkey, l_partkey AS r, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY 1")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_partkey").alias("row_id")).distinct()
     first = rows.select("table_id", "row_id", F.lit(0).alias("col_id"), F.when(F.col("row_id") % 2 == 0, "Flow rate").otherwise("x").alias("text"))
