@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, per_process, slices, staged, text_sizes
+from .common import documents, per_process, slices, small_batches, staged, text_sizes
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of a piece of the path.
@@ -344,7 +344,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_counts(aligned: DataFrame) -> DataFrame:
     """(code, n, best): how many links of the corpus hold a pair of ids, and whether no pair with its id of B has more."""
     counts = aligned.select("links").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = staged(counts, "link-counts")
+    with small_batches(aligned.sparkSession):
+        counts = staged(counts, "link-counts")
     own = F.expr("code & 4294967295").alias("b")
     most = counts.groupBy(own).agg(F.max("n").alias("most"))
     return staged(counts.select("code", "n", own).join(most, "b").select("code", "n", (F.col("n") == F.col("most")).alias("best")), "best-links")
@@ -391,7 +392,8 @@ def with_counts(aligned: DataFrame) -> DataFrame:
     def look(batches):
         return _looked_up(*shared.value)(batches)
 
-    found = staged(aligned.select("row", "links").mapInArrow(look, "row long, n_best long, count_sum long, rest array<long>"), "link-sums")
+    with small_batches(spark):
+        found = staged(aligned.select("row", "links").mapInArrow(look, "row long, n_best long, count_sum long, rest array<long>"), "link-sums")
     asked = found.where(F.size("rest") > 0).select("row", F.explode("rest").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
     rare = counts.where(F.col("n") < least)
     more = asked.join(rare, "code").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best_more"), F.sum(F.col("times") * F.col("n")).alias("sum_more"))
@@ -403,4 +405,6 @@ def with_counts(aligned: DataFrame) -> DataFrame:
 def op12_cross_tokenizer(spark, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.rtrim(F.col("groups"), F.lit(";")).cast("binary"), 256))
     aligned = align(documents(spark, sf_dir)).withColumn("groups_sha256", digest).drop("groups")
-    return with_counts(staged(aligned.select(F.monotonically_increasing_id().alias("row"), "*"), "aligned"))
+    with small_batches(spark):
+        aligned = staged(aligned.select(F.monotonically_increasing_id().alias("row"), "*"), "aligned")
+    return with_counts(aligned)
