@@ -126,6 +126,7 @@ def text_table(pages: DataFrame, text: str = "text", least_parts: int = 3, least
     return rows.select(*keys, "row_no", F.posexplode("parts").alias("col_no", "text"))
 
 
+# Shapes of records in lines.
 NOMINAL = r"([A-ZА-ЯЁ][A-ZА-ЯЁa-zа-яё]{1,5}[\s\-_][\d][\d/\-_.a-zA-Z()\s]{1,40}?)\s+(\d{6,9})\s+([\d,.]+)\s+([\d,.]+)\s+([\d,.]+)"
 LINE = r"^([A-ZА-Я][A-Za-zА-Яа-я\d\-/. ]{3,40}?)\s+([\d,.]+)\s+([\d,.]+)\s+([\d,.]+)"
 
@@ -223,12 +224,19 @@ def dominant(pages: DataFrame, pattern: str, by: list[str], text: str = "text")
 
 def blocks(text_lines: DataFrame, by: list[str], gap: float = 2.0) -> DataFrame:
     """Lines (line_no, y, font_size) to blocks: a new one where y grows by over gap times the larger font of the two lines.
-    block_no, first_line, n_lines, top, bottom."""
+    block_no, first_line, n_lines, top, bottom (of the last line's y). Lines with x0 and line (their text) also give left, right
+    (by half a font size a letter) and table_like: three lines at least, of which one has three columns between runs of two
+    blanks, in at most two numbers of columns."""
     order = Window.partitionBy(*by).orderBy("line_no")
     font = F.greatest("font_size", F.lag("font_size").over(order))
     new = F.coalesce(F.col("y") - F.lag("y").over(order) > gap * font, F.lit(True))
     marked = text_lines.withColumn("_new", new.cast("int")).withColumn("block_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return marked.groupBy(*by, "block_no").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+    more = []
+    if {"x0", "line"} <= set(text_lines.columns):
+        columns = F.size(F.split(F.trim("line"), r"\s{2,}"))
+        like = (F.count("*") >= 3) & (F.countDistinct(columns) <= 2) & (F.max(columns) >= 3)
+        more = [F.min("x0").alias("left"), F.max(F.col("x0") + F.length("line") * F.col("font_size") * 0.5).alias("right"), like.alias("table_like")]
+    return marked.groupBy(*by, "block_no").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.min("y").alias("top"), F.max("y").alias("bottom"), *more)
 
 
 def clean_catalog_name(name: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import parse_number
+from ..functions.numbers import half_up, parse_number
 from ..functions.units import convert
 from ..sources.staging import staged
 
@@ -150,6 +150,46 @@ def transpose_spec(cells: DataFrame, labels: DataFrame, params: list[str]) -> Da
     return pivoted.withColumns({p: parse_number(F.col(p)) for p in params})
 
 
+# Words of parameters in the first column, in the order in which a cell is told.
+PARAMETER_WORDS = ["модель", "model", "расход", "подача", "flow", "capacity", "напор", "head", "мощность", "power", "обороты", "speed", "rpm", "тип", "type", "насос", "pump", "delivery", "prevalenza"]
+PARAMETERS = {"q": ["расход", "подача", "flow", "capacity", "delivery"], "h": ["напор", "head", "prevalenza"], "p": ["мощность", "power", "potenza", "leistung"], "rpm": ["обороты", "speed", "rpm", "частота вращения"]}
+
+
+def range_middle(text: Column) -> Column:
+    """'8-12,5' is 10.25; a number is itself; null otherwise."""
+    s = F.translate(F.trim(text), ", ", ".")
+    shape = r"^([\d.]+)\s*[-–—]\s*([\d.]+)"
+    low, high = (F.regexp_extract(s, shape, i).try_cast("double") for i in (1, 2))
+    return F.coalesce(half_up((low + high) / 2, 2), F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.try_cast("double")))
+
+
+def transposed_records(cells: DataFrame, headers: DataFrame, speeds: DataFrame | None = None, look: int = 15) -> DataFrame:
+    """table_id, col_id, model, q, h, p (0 where nothing tells), rpm of each column of tables whose first column names parameters.
+
+    cells: table_id, row_id from 0, col_id from 0, text; headers: table_id, col_id, text; speeds: table_id, rpm of the page. A
+    table needs three rows and columns, two cells with words of parameters among the first look rows of its first column, and one
+    of flow or head. Of several rows of a parameter the last counts. Ranges give their middle; a speed counts from 800 to 3600,
+    else the page's (0 without). Columns whose header has under two characters, or without flow and head, give nothing.
+    """
+    low = F.lower(F.trim("text"))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    first = cells.where((F.col("col_id") == 0) & (F.col("row_id") < look))
+    param = F.coalesce(*(F.when(has(words), name) for name, words in PARAMETERS.items()))
+    told = first.select("table_id", "row_id", F.coalesce(has(PARAMETER_WORDS), F.lit(False)).alias("hit"), param.alias("param"))
+    rows = told.groupBy("table_id").agg(F.count_if("hit").alias("hits"), *(F.max(F.when(F.col("param") == x, F.col("row_id"))).alias(f"_{x}") for x in PARAMETERS))
+    sizes = cells.groupBy("table_id").agg((F.max("row_id") + 1).alias("_rows")).join(headers.groupBy("table_id").agg(F.count("*").alias("_columns")), "table_id").where("_rows >= 3 AND _columns >= 3").select("table_id")
+    rows = rows.where("hits >= 2 AND coalesce(_q, _h) IS NOT NULL").join(sizes, "table_id")
+    at = F.array_compact(F.array(*(F.when(F.col(f"_{x}").isNotNull(), F.struct(F.col(f"_{x}").alias("row_id"), F.lit(x).alias("param"))) for x in PARAMETERS)))
+    wanted = rows.select("table_id", F.inline(at))
+    values = cells.where("col_id > 0").join(wanted, ["table_id", "row_id"]).groupBy("table_id", "col_id").agg(*(F.max(F.when(F.col("param") == x, range_middle(F.col("text")))).alias(x) for x in PARAMETERS))
+    models = headers.where("col_id > 0").select("table_id", "col_id", F.trim("text").alias("model")).where(F.length("model") >= 2)
+    own = models.join(values, ["table_id", "col_id"])
+    own = own.join(speeds.withColumnRenamed("rpm", "_page"), "table_id", "left") if speeds is not None else own.withColumn("_page", F.lit(0))
+    value = lambda x: half_up(F.coalesce(x, F.lit(0.0)), 2).alias(x)
+    rpm = F.coalesce(F.when(F.col("rpm").between(800, 3600), F.col("rpm").cast("int")), F.col("_page"), F.lit(0))
+    return own.select("table_id", "col_id", "model", value("q"), value("h"), value("p"), rpm.cast("int").alias("rpm")).where("q > 0 OR h > 0")
+
+
 def is_transposed(cells: DataFrame, words: list[str], first: int = 10) -> DataFrame:
     """table_id, transposed, confidence: parameter words in three of the first rows' first cells, or in two and over 30 % of all
     rows' first cells."""

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import code_queries, column_queries, curve_queries, curve_table_queries, entry_queries, extract_queries, fill_queries, match_queries, page_queries, source_queries, table_queries  # noqa: F401  they register themselves
+    from . import code_queries, column_queries, curve_queries, curve_table_queries, entry_queries, extract_queries, fill_queries, match_queries, page_queries, rule_queries, source_queries, table_queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
