@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import merge
-from ..sources import files
+from ..sources import files, snapshot
+from ..sources.staging import shared_dir
 from ..streaming import jobs
 from . import oracle as O
 from .inputs import ENTRIES, entries, table
@@ -90,3 +93,40 @@ def _(spark, d):
 @query("f20_json_from_text", "SELECT event_id, coalesce(json_extract_string(props, '$.page'), '') AS page FROM events")
 def _(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("")).alias("page"))
+
+
+ROWS = "catalog string, model string, q double, at long"
+
+
+@query(
+    "s9_replace_catalogues",
+    """SELECT 's' || l_suppkey AS catalog, concat('m', l_partkey) AS model, max(l_quantity) AS q, 1 AS "at" FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY ALL UNION ALL SELECT 's' || l_suppkey, concat('n', l_linenumber), max(l_quantity), 2 FROM lineitem WHERE l_suppkey % 3 = 0 AND l_suppkey % 2 = 0 GROUP BY ALL UNION ALL SELECT 's' || l_suppkey, concat('m', l_partkey), max(l_quantity), 1 FROM lineitem WHERE l_suppkey % 3 = 0 AND l_suppkey % 2 <> 0 GROUP BY ALL""",
+)
+def _(spark, d):
+    """All catalogues, a third of them replaced or done twice, and a batch that broke off before it was in a manifest."""
+    line = table(spark, d, "lineitem")
+    name = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("catalog")
+    of = lambda rows, letter, column, at: rows.groupBy(name, F.concat(F.lit(letter), F.col(column).cast("string")).alias("model")).agg(F.max("l_quantity").alias("q")).withColumn("at", F.lit(at).cast("long"))
+    path = f"{shared_dir(spark)}/catalogues-{uuid.uuid4().hex}"
+    snapshot.replace_catalogues(of(line, "m", "l_partkey", 1), path, 1)
+    some = of(line.where("l_suppkey % 3 = 0 AND l_suppkey % 2 = 0"), "n", "l_linenumber", 2)
+    for _ in range(2):
+        snapshot.replace_catalogues(some, path, 2)
+    snapshot.write_rows(of(line, "x", "l_partkey", 3), path, 3)
+    return snapshot.read_catalogues(spark, path, ROWS)
+
+
+@query(
+    "m1_incremental_upsert",
+    """WITH x AS (SELECT 's' || l_suppkey AS catalog, concat('m', l_partkey) AS model, max(l_quantity) AS q, l_linenumber AS arrival FROM lineitem WHERE l_suppkey % 7 >= l_linenumber % 7 GROUP BY ALL) SELECT catalog, model, q, CAST(arrival AS BIGINT) AS "at" FROM x WHERE arrival = (SELECT max(arrival) FROM x y WHERE y.catalog = x.catalog)""",
+)
+def _(spark, d):
+    """Line numbers are arrivals of whole catalogues, which replace their former rows; the stream looks thrice."""
+    line = table(spark, d, "lineitem").where("l_suppkey % 7 >= l_linenumber % 7")
+    rows = line.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("catalog"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("model"), F.col("l_linenumber").cast("long").alias("at")).agg(F.max("l_quantity").alias("q")).select("catalog", "model", "q", "at")
+    folder = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    for k in (1, 4, 7):
+        rows.where(F.col("at").between(k, k + 2)).write.parquet(f"{folder}/in/part-{k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        jobs.upsert_snapshot(stream, f"{folder}/out", f"{folder}/state").start().awaitTermination()
+    return snapshot.read_catalogues(spark, f"{folder}/out", ROWS)

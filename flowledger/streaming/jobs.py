@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import snapshot
 from ..sources.files import replace_catalogues
 from ..sources.staging import shared_dir
 
@@ -26,6 +27,17 @@ def upsert_catalogues(arriving: DataFrame, path: str, checkpoint: str, by: str =
     return arriving.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def upsert_snapshot(arriving: DataFrame, path: str, checkpoint: str, by: str = "catalog"):
+    """As upsert_catalogues(), into a snapshot: a reader sees each micro-batch wholly or not at all, and a batch that is tried again
+    after a failure changes nothing if it was done. Read it by snapshot.read_catalogues()."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(by).agg(F.max("at").alias("at"))
+        snapshot.replace_catalogues(batch.join(last, [by, "at"]), path, number + 1, by)
+
+    return arriving.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 STATE = "uses long, successes long, failures long, ts array<long>, event_id array<long>, success array<boolean>"
 RESULT = "recipe_id long, uses long, successes long, failures long, action string"
 
