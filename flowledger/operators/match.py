@@ -38,7 +38,9 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str = "key", order: str
     theirs = right.select(F.col(key).alias("other"), F.col(order).alias("_o")).where(F.length("other") > 0)
     equal = mine.join(theirs, mine[key] == theirs["other"]).select(key, "other").distinct()
     rest = mine.join(equal.select(key), key, "left_anti").withColumn("_v", F.explode(key_variants(F.col(key)))).where(F.length("_v") > 0)
-    longer = rest.join(theirs.withColumn("_v", F.explode(prefixes(F.col("other"), 1))), "_v")
+    # the first right key of each prefix alone: a short left key has one row, not one for every longer name
+    firsts = theirs.select(F.explode(prefixes(F.col("other"), 1)).alias("_v"), "_o", "other").groupBy("_v").agg(F.min(F.struct("_o", "other")).alias("_f"))
+    longer = rest.join(firsts, "_v").select(key, F.col("_f.other").alias("other"), F.col("_f._o").alias("_o"))
     shorter = rest.select(key, F.explode(prefixes(F.col("_v"), 1)).alias("other")).distinct().join(theirs, "other")
     found = longer.select(key, "other", "_o").unionByName(shorter.select(key, "other", "_o"))
     return equal.unionByName(found.groupBy(key).agg(F.min(F.struct("_o", "other"))["other"].alias("other")))

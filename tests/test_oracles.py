@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.01"
 NAMES = [
     "f7_model_key", "f14_snap_power", "v1_validate_physics", "v2_self_heal", "w3_cross_page_merge", "g3_majority_fill", "j1_merge_sources", "j6_prefix_join", "j13_suffix_antijoin", "w5_iqr_outliers", "w7_same_point",
     "g4_quality_gates", "q1_search_pumps", "w12_consecutive_failures", "a3_interpolate", "p2_classify_pages", "p17_brand_from_text", "t5_infer_from_values", "t13_unpivot_qh_matrix", "s8_upsert_by_key", "flagship_clean_models",
+    "t19_curve_records", "j11_fill_chain", "t22_direct_records", "x1_extractors", "f16_coded_names", "p14_spans_to_rows", "w3_merged_fields", "m1_incremental_upsert", "j15_verify_models",
 ]
 
 
