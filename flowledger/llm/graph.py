@@ -72,7 +72,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     n = partitions(edges.sparkSession)
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = edges.repartition(n, "a").mapInPandas(_local_forests, "a long, b long").distinct().checkpoint()
+    # in order, so that a second try cuts the same pieces and gives the same forests
+    edges = edges.repartition(n, "a").sortWithinPartitions("a", "b").mapInPandas(_local_forests, "a long, b long").distinct().checkpoint()
     for _ in range(max_rounds):
         n_edges = edges.count()
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -540,6 +540,37 @@ def test_toxicity_columns(spark, docs, empty):
     assert toxicity.keep_clean(docs, labels.where("false")).count() == docs.count() and not len(none.words)
 
 
+def test_toxicity_scores_by_hand(spark, docs):
+    """Each document's score from its words one by one, also of a text that is one very long word."""
+    labels = spark.createDataFrame([(i, int(i % 4 > 1), int(i % 5 < 2)) for i in range(46)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model.words)
+    own = rows_of(docs) + [(900, "Abcd" * 700_000), (901, "a-b_c.d!e\x85f\xa0g"), (902, "ABCDEFGH" + "x" * 50), (903, None)]
+    more = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["severity"], r["p_toxic"], r["toxic"]) for r in toxicity.score_toxicity(more, model).collect()), key=str)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    want = []
+    for i, text in own:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        found = {w.encode()[:k] for w in re.split("[\x09-\x0D\x20!-/:-@\\[-`{-~]+", lower) if w for k in (4, 6, 8)}
+        signal = sum(weight.get(xxhash.xxh64_intdigest(x), 0.0) for x in found)
+        above = [1 / (1 + np.exp(min(40, max(-40, cut - signal)))) for cut in model.cuts]
+        want.append((i, sum(above), above[0], bool(above[0] >= 0.5)))
+    for g, w in zip(got, sorted(want, key=str), strict=True):
+        assert g[0] == w[0] and g[1:3] == pytest.approx(w[1:3], abs=1e-9) and g[3] == w[3]
+
+
+def test_long_words_of_other_operators(spark):
+    """One very long word beside plain texts."""
+    own = [(1, "w" * 2_000_000), (2, "w" * 2_000_000), (3, "a b c"), (4, "x" * 300_000 + " " + "y" * 300_000)]
+    some = spark.createDataFrame(own, "doc_id long, text string").repartition(2)
+    removed = {r["doc_id"]: (r["removal"]["n_words"], r["removal"]["n_removed"]) for r in substring.repeated_windows(some).collect()}
+    assert removed == {1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (2, 0)}
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    scored = {r["doc_id"]: (r["n_words"], r["word_chars"]) for r in quality.score_quality(some, quality.fit_quality(some, labels)).collect()}
+    assert scored[1] == (1, 2_000_000) and scored[4] == (2, 600_000)
+
+
 def test_toxic_documents_are_found(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
