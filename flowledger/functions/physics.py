@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +76,14 @@ def estimate_power(q: Column, h: Column) -> Column:
     return F.when((q > 0) & (h > 0), _search(IEC_KW, lambda i: F.lit(IEC_KW[i]) >= shaft)).otherwise(0.0)
 
 
-def _types(q: Column, h: Column, p: Column, model: Column, series: Column | None, stages: Column | None) -> list[tuple[Column, str]]:
-    """(condition, type): the first condition that holds tells the type, else it is DEFAULT_TYPE."""
-    name = F.lower(F.concat(F.coalesce(model, F.lit("")), F.lit(" "), F.coalesce(series, F.lit("")) if series is not None else F.lit("")))
-    out = [(name.rlike("|".join(map(re.escape, words))), kind) for kind, words in TYPE_WORDS.items()]
+def _low_name(model: Column, series: Column | None) -> Column:
+    return F.lower(F.concat(F.coalesce(model, F.lit("")), F.lit(" "), F.coalesce(series, F.lit("")) if series is not None else F.lit("")))
+
+
+def _types(q: Column, h: Column, p: Column, name: Column, stages: Column | None) -> list[tuple[Column, str]]:
+    """(condition, type) by a name in small letters: the first condition that holds tells the type, else it is DEFAULT_TYPE."""
+    has = lambda words: reduce(lambda a, b: a | b, (F.contains(name, F.lit(w)) for w in words))
+    out = [(has(words), kind) for kind, words in TYPE_WORDS.items()]
     many = h > 200 if stages is None else (h > 200) | (stages > 5)
     return [*out, ((h < 15) & (q < 50) & (p < 0.5), "circulator"), (many, "centrifugal_multi")]
 
@@ -93,15 +97,16 @@ def _by_type(types: list[tuple[Column, str]], value) -> Column:
 
 def pump_type(q: Column, h: Column, p: Column, model: Column, series: Column | None = None, stages: Column | None = None) -> Column:
     """By words of the name, else by flow, head, power and stages."""
-    return _by_type(_types(q, h, p, model, series, stages), lambda kind: kind)
+    return _by_type(_types(q, h, p, _low_name(model, series), stages), lambda kind: kind)
 
 
 #: What PUMP_TYPES says of a type, in its order.
 _LIMITS = ("_q_max", "_h_max", "_eta_low", "_eta_high")
 
 
-def _limits(types: list[tuple[Column, str]]) -> dict[str, Column]:
-    return {name: _by_type(types, lambda kind, i=i: PUMP_TYPES[kind][i]) for i, name in enumerate(_LIMITS)}
+def _limits(kind: Column) -> dict[str, Column]:
+    of = lambda i: _by_type([(kind == k, k) for k in PUMP_TYPES if k != DEFAULT_TYPE], lambda k: PUMP_TYPES[k][i])
+    return {name: of(i) for i, name in enumerate(_LIMITS)}
 
 
 def curve_penalty(q_points: Column, h_points: Column) -> Column:
@@ -140,8 +145,10 @@ def with_checks(entries: DataFrame, q: str = "q_nom", h: str = "h_nom", p: str =
     """entries with kind (pump type), eta, near_kw (nearest motor size), reason ('ok' or a code) and adjustment (what
     confidence loses). Each is a column of its own, worked out once, since later ones use it many times."""
     q, h, p, model = F.col(q), F.col(h), F.col(p), F.col(model)
-    types = _types(q, h, p, model, F.col(series) if series else None, F.col(stages) if stages else None)
-    out = entries.withColumns({"kind": _by_type(types, lambda kind: kind), "eta": efficiency(q, h, p), "near_kw": nearest_size(p)} | _limits(types))
+    out = entries.withColumn("_low", _low_name(model, F.col(series) if series else None))
+    types = _types(q, h, p, F.col("_low"), F.col(stages) if stages else None)
+    out = out.withColumns({"kind": _by_type(types, lambda kind: kind), "eta": efficiency(q, h, p), "near_kw": nearest_size(p)}).drop("_low")
+    out = out.withColumns(_limits(F.col("kind")))
     limits, eta = {x: F.col(x) for x in _LIMITS}, F.col("eta")
     loss = _adjustment(p, F.col("kind"), eta, limits, F.col("near_kw"), curve_penalty(*map(F.col, curves)) if curves else None)
     usual = F.coalesce(eta.between(F.col("_eta_low"), F.col("_eta_high")), F.lit(False))
@@ -155,8 +162,8 @@ CHECKS = ("kind", "eta", "near_kw", "reason", "adjustment", "usual_eta")
 
 def validate(q: Column, h: Column, p: Column, model: Column, series: Column | None = None, stages: Column | None = None, q_points: Column | None = None, h_points: Column | None = None) -> Column:
     """struct(ok, reason, adjustment) as one expression, for single uses; with_checks is the form for tables."""
-    types, eta = _types(q, h, p, model, series, stages), efficiency(q, h, p)
-    kind, limits = _by_type(types, lambda one: one), _limits(types)
+    kind, eta = pump_type(q, h, p, model, series, stages), efficiency(q, h, p)
+    limits = _limits(kind)
     reason = _reason(q, h, eta, limits)
     total = _adjustment(p, kind, eta, limits, nearest_size(p), curve_penalty(q_points, h_points) if q_points is not None else None)
     return F.struct((reason == "ok").alias("ok"), reason.alias("reason"), F.when(reason == "ok", total).otherwise(0.0).alias("adjustment"))

@@ -51,8 +51,10 @@ def cross_page_merge(entries: DataFrame, number: str = "seq") -> DataFrame:
     ranked = entries.withColumns({"_lack": -half_up(completeness(entries), 6), "_order": order})
     by = ["model", "_lack"]
     keyed = lambda sums: sums.withColumn("key", model_key(F.col("model"))).where("key <> ''")
-    own = [c for x in numbers for c in (F.min_by(x, F.when(_knows(entries, x), F.col("_order"))).alias(x), F.min(F.when(_knows(entries, x), F.col("_order"))).alias(f"_at_{x}"))]
-    sums = keyed(ranked.groupBy(*by).agg(*own, F.min("_order").alias("_at"), F.max("confidence").alias("confidence"), F.count("*").alias("n_pages")))
+    # small methods: the JVM doesn't compile a large one, so the orders of the known values are columns before they are summed
+    ordered = ranked.withColumns({f"_at_{x}": F.when(_knows(entries, x), F.col("_order")) for x in numbers})
+    own = [c for x in numbers for c in (F.min_by(x, f"_at_{x}").alias(x), F.min(f"_at_{x}").alias(f"_at_{x}"))]
+    sums = keyed(ordered.groupBy(*by).agg(*own, F.min("_order").alias("_at"), F.max("confidence").alias("confidence"), F.count("*").alias("n_pages")))
     first = lambda x, at: F.min_by(x, F.when(F.col(at).isNotNull(), F.struct("_lack", at))).alias(x)
     filled = [F.coalesce(first(x, f"_at_{x}"), F.lit(0)).cast(entries.schema[x].dataType).alias(x) for x in numbers]
     out = sums.groupBy("key").agg(first("model", "_at"), *filled, F.max("confidence").alias("confidence"), F.sum("n_pages").alias("n_pages"))
