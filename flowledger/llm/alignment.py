@@ -26,19 +26,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, per_process, slices, small_batches, staged, text_sizes
+from .common import documents, give_back, per_process, slices, small_batches, staged, text_sizes
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of a piece of the path.
 STEPS = 64
 #: Bytes of text that a task aligns at once.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Bytes of links that a task counts at once.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: Units, and bytes of what is known of them, that a worker remembers; longer units aren't remembered.
-UNITS, KNOWN_BYTES, LONG_UNIT = 160_000, 32 << 20, 256
+UNITS, KNOWN_BYTES, LONG_UNIT = 80_000, 16 << 20, 256
 #: Bytes of new units that are tokenized together.
-NEW = 1 << 20
+NEW = 1 << 19
 HOT_SHARE = 1 << 18
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary"
 
@@ -314,6 +314,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
         for batch in batches:
             for a, b in slices(text_sizes(batch.column(1)), SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *own.align_texts(batch.column(1).slice(a, b - a))], names=[x.split()[0] for x in ALIGNED.split(", ")])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ALIGNED)
 
@@ -339,6 +340,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield sums(held)
+    give_back()
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -374,6 +376,7 @@ def _looked_up(codes: np.ndarray, n: np.ndarray, best: np.ndarray):
                 cuts = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(cuts), pa.array(own[rest], pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sums[0]), pa.array(sums[1]), column], names=["row", "n_best", "count_sum", "rest"])
+        give_back()
 
     return run
 

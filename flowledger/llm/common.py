@@ -168,7 +168,7 @@ class LearnedIds:
 _per_process: dict = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the machine: a worker lives on in the next stage, with what it once held still counted."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
@@ -180,7 +180,7 @@ def per_process(group: str, key, make: Callable):
     operator remembers doesn't stay beside what the next one does."""
     if any(g != group for g, _ in _per_process):
         _per_process.clear()
-        _give_back()
+        give_back()
     if (group, key) not in _per_process:
         _per_process[group, key] = make()
     return _per_process[group, key]
