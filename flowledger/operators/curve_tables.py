@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import word_series_of
+from ..functions.binding import bound, once
 from ..functions.numbers import NUMBER, half_up
+from ..sources.staging import staged
 
 # Marks of a row of flows, of a row of heads and of a speed; the first Q may stand anywhere in its row.
 Q_ROW = r"(?iu)Q\s*[(\[]?\s*(?:м[³3]\s*/?\s*ч|m[³3]\s*/?\s*h|л/мин|l/min)"
@@ -34,8 +36,9 @@ def _power(x: Column) -> Column:
 
 def _found(rows: DataFrame, keys: list[str], q: str, h: str, source: str, confidence: Column) -> DataFrame:
     """A record with its curve, the nominal point at SHARE of the greatest flow (the first of equals), and rounded values."""
-    aim = F.array_max(q) * SHARE
-    at = F.array_min(F.transform(F.arrays_zip(F.col(q).alias("q"), F.col(h).alias("h")), lambda p, i: F.struct(F.abs(p["q"] - aim).alias("apart"), i.alias("i"), p["q"].alias("q"), p["h"].alias("h"))))
+    points = F.arrays_zip(F.col(q).alias("q"), F.col(h).alias("h"))
+    near = lambda aim: F.array_min(F.transform(points, lambda p, i: F.struct(F.abs(p["q"] - aim).alias("apart"), i.alias("i"), p["q"].alias("q"), p["h"].alias("h"))))
+    rows, at = rows.withColumn("_at", bound(F.array_max(q) * SHARE, near)), F.col("_at")
     rounded = lambda x: F.transform(x, lambda v: half_up(v, 2))
     model = F.trim(F.regexp_replace("model", r"\n", " "))
     return rows.select(
@@ -59,7 +62,8 @@ def curves_in_tables(cells: DataFrame, headers: DataFrame, speeds: DataFrame | N
     heads over 0; its power is the last number after the name, else the first one left of the flows. Tables of fewer than
     least_rows rows, or without a row of flows, give nothing; blank, null, 'none', 'nan' and '-' cells are empty.
 
-    Rows are gathered cell by cell (a table's width), tables are not: each row meets its table's flows in a join.
+    Rows are gathered cell by cell (a table's width), tables are not: each row meets its table's flows in a join. Joins are by
+    sorted shuffles: what they meet grows with the tables, though Spark takes it for as small as the file that it is derived from.
     """
     packed = F.array_sort(F.collect_list(F.struct("col_id", F.coalesce("text", F.lit("")).alias("text"))))
     rows = cells.groupBy("table_id", "row_id").agg(packed.alias("c"))
@@ -74,23 +78,27 @@ def curves_in_tables(cells: DataFrame, headers: DataFrame, speeds: DataFrame | N
     first = flows.groupBy("table_id").agg(F.min_by(F.struct("row_id", "q"), place).alias("f"))
     first = first.select("table_id", F.col("f.row_id").alias("q_row"), F.get("f.q", F.lit(0))["col_id"].alias("start"), F.transform("f.q", lambda x: x["q"]).alias("q"))
 
-    met = rows.join(first.join(sizes, "table_id"), "table_id").where(F.col("row_id") > F.col("q_row"))
+    met = rows.join(first.join(sizes.hint("merge"), "table_id").hint("merge"), "table_id").where(F.col("row_id") > F.col("q_row"))
     met = met.where(F.try_element_at("c", F.lit(-1))["col_id"] + 1 >= F.col("start") + 2)
-    left = F.filter("c", lambda x: x["col_id"] < F.col("start"))
-    mark = F.trim(F.array_join(F.transform(left, lambda x: x["text"]), " "))
-    told = F.filter(left, lambda x: ~F.lower(F.trim(x["text"])).isin("", "none", "nan", "-"))
-    told = F.transform(told, lambda x: F.struct(x["col_id"].alias("col_id"), F.trim(x["text"]).alias("text"), _number(x["text"]).alias("x")))
-    met = met.where(~mark.rlike(H_MARK)).withColumn("told", told)
-    words = F.filter("told", lambda x: x["x"].isNull() & (F.length(x["text"]) >= 3))
-    met = met.withColumn("words", words).where(F.size("words") > 0)
-    powers = F.filter("told", lambda x: _power(x["x"]))
-    after = F.filter(powers, lambda x: x["col_id"] > F.get("words", F.lit(0))["col_id"])
-    power = F.coalesce(F.try_element_at(after, F.lit(-1))["x"], F.try_element_at(powers, F.lit(1))["x"], F.lit(0.0))
-    within = F.filter("c", lambda x: x["col_id"] >= F.col("start"))
-    points = F.filter(F.transform(within, lambda x: F.struct(F.try_element_at("q", (x["col_id"] - F.col("start") + 1).cast("int")).alias("q"), _number(x["text"]).alias("h"))), lambda x: x["q"].isNotNull() & (x["h"] > 0))
-    met = met.select("table_id", "row_id", F.try_element_at("words", F.lit(-1))["text"].alias("model"), power.alias("power_kw"), points.alias("p")).where(F.size("p") >= 2)
+
+    def record(left: Column) -> Column:
+        """What a row tells by the cells left of the flows: a record, null if they are a mark of heads or hold no name."""
+        filled = F.filter(left, lambda x: ~F.lower(F.trim(x["text"])).isin("", "none", "nan", "-"))
+        told = F.transform(filled, lambda x: F.struct(x["col_id"].alias("col_id"), F.trim(x["text"]).alias("text"), _number(x["text"]).alias("x")))
+        mark = F.trim(F.array_join(F.transform(left, lambda x: x["text"]), " "))
+        return F.when(~mark.rlike(H_MARK), bound(told, lambda t: bound(F.filter(t, lambda x: x["x"].isNull() & (F.length(x["text"]) >= 3)), lambda words: named_row(t, words))))
+
+    def named_row(told: Column, words: Column) -> Column:
+        powers = F.filter(told, lambda x: _power(x["x"]))
+        after = F.filter(powers, lambda x: x["col_id"] > F.get(words, F.lit(0))["col_id"])
+        power = F.coalesce(F.try_element_at(after, F.lit(-1))["x"], F.try_element_at(powers, F.lit(1))["x"], F.lit(0.0))
+        within = F.filter("c", lambda x: x["col_id"] >= F.col("start"))
+        points = F.filter(F.transform(within, lambda x: F.struct(F.try_element_at("q", (x["col_id"] - F.col("start") + 1).cast("int")).alias("q"), _number(x["text"]).alias("h"))), lambda x: x["q"].isNotNull() & (x["h"] > 0))
+        return F.when(F.size(words) > 0, F.struct(F.try_element_at(words, F.lit(-1))["text"].alias("model"), power.alias("power_kw"), points.alias("p")))
+
+    met = once(met, bound(F.filter("c", lambda x: x["col_id"] < F.col("start")), record), ["table_id", "row_id"]).where(F.size("p") >= 2)
     met = met.select("*", F.transform("p", lambda x: x["q"]).alias("qs"), F.transform("p", lambda x: x["h"]).alias("hs"))
-    met = met.join(speeds, "table_id", "left") if speeds is not None else met.withColumn("rpm", F.lit(0))
+    met = met.join(speeds.hint("merge"), "table_id", "left") if speeds is not None else met.withColumn("rpm", F.lit(0))
     return _found(met, ["table_id", "row_id"], "qs", "hs", "curve_table", F.when(F.size("hs") >= 3, 0.85).otherwise(0.65))
 
 
@@ -106,24 +114,29 @@ def curves_in_text(pages: DataFrame, text: str = "text") -> DataFrame:
     from one text, so no window is longer than a text.
     """
     keys = [x for x in pages.columns if x != text]
-    own = F.split(F.col(text), "\n")
-    near = F.transform(own, lambda x, i: F.struct(i.alias("line_no"), F.trim(x).alias("line"), F.when(i > 0, F.trim(F.get(own, i - 1))).alias("before"), F.trim(F.get(own, i + 1)).alias("after")))
-    cut = pages.select(*keys, speed_of(F.col(text)).alias("rpm"), F.inline(near))
-    named = lambda x: F.coalesce(x.rlike(Q_ROW), F.lit(False))
-    many = lambda x: F.coalesce(F.size(_numbers(x)) >= 3, F.lit(False))
-    line, before, after = F.col("line"), F.col("before"), F.col("after")
-    given_before = named(before) & ~many(before)
-    flows = many(line) & (named(line) | given_before)
-    # a line of flows, and one that the line before it takes for its flows, is no model line
-    taken = flows | (named(line) & ~many(line) & many(after))
-    parts = F.filter(F.transform(F.split(line, r"\s{2,}"), lambda x: F.trim(x)), lambda x: x != "")
-    told = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("text"), _number(x).alias("x")))
-    cut = cut.withColumns({"q": F.when(flows, _numbers(line)), "told": F.when(~taken & (line != "") & ~(line.rlike(H_MARK) & ~many(line)), told)})
+    read = lambda x: bound(F.trim(x), lambda t: F.struct(t.alias("line"), F.coalesce(t.rlike(Q_ROW), F.lit(False)).alias("named"), _numbers(t).alias("numbers")))
+    many = lambda x: F.coalesce(F.size(x["numbers"]) >= 3, F.lit(False))
     word = lambda x: x["x"].isNull() & ~x["text"].rlike(H_MARK) & (F.length(x["text"]) >= 3)
-    cut = cut.withColumn("words", F.filter("told", word))
-    values = F.transform(F.filter("told", lambda x: x["x"].isNotNull() & (x["i"] > F.get("words", F.lit(0))["i"])), lambda x: x["x"])
-    cut = cut.withColumn("values", F.when(F.size("words") > 0, values))
-    cut = cut.select(*keys, "line_no", "rpm", "q", F.try_element_at("words", F.lit(-1))["text"].alias("model"), "values").where("q IS NOT NULL OR size(values) >= 3")
+
+    def told(line: Column, i: Column, q: Column, taken: Column) -> Column:
+        parts = F.filter(F.transform(F.split(line["line"], r"\s{2,}"), lambda x: F.trim(x)), lambda x: x != "")
+        parts = F.transform(parts, lambda x, k: F.struct(k.alias("i"), x.alias("text"), _number(x).alias("x")))
+        values = lambda p, words: F.transform(F.filter(p, lambda x: x["x"].isNotNull() & (x["i"] > F.get(words, F.lit(0))["i"])), lambda x: x["x"])
+        model = bound(parts, lambda p: bound(F.filter(p, word), lambda w: F.struct(F.try_element_at(w, F.lit(-1))["text"].alias("model"), F.when(F.size(w) > 0, values(p, w)).alias("values"))))
+        model = F.when(~taken & (line["line"] != "") & ~(line["line"].rlike(H_MARK) & ~many(line)), model)
+        return bound(model, lambda m: F.struct(i.alias("line_no"), q.alias("q"), m["model"].alias("model"), m["values"].alias("values")))
+
+    def row(own: Column, line: Column, i: Column) -> Column:
+        before, after = F.get(own, i - 1), F.get(own, i + 1)
+        given = F.coalesce(before["named"] & ~many(before), F.lit(False))
+        flows = many(line) & (line["named"] | given)
+        # a line of flows, and one that the line before it takes for its flows, is no model line
+        return told(line, i, F.when(flows, line["numbers"]), flows | (line["named"] & ~many(line) & many(after)))
+
+    lines = bound(F.transform(F.split(F.col(text), "\n"), read), lambda own: F.transform(own, lambda x, i: row(own, x, i)))
+    kept = F.filter(lines, lambda x: x["q"].isNotNull() | (F.size(x["values"]) >= 3))
+    # dealt out before the work on texts and not after it: the window needs a page in one task
+    cut = pages.repartition(*keys).select(*keys, speed_of(F.col(text)).alias("rpm"), F.inline(kept))
     order = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = cut.withColumn("flows", F.last("q", ignorenulls=True).over(order)).where("q IS NULL AND flows IS NOT NULL")
     first = _power(F.get("values", F.lit(0)))
@@ -135,17 +148,17 @@ def curves_in_text(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def first_of_model(found: DataFrame, page: list[str], order: list[str]) -> DataFrame:
     """The first record of each model of a page, capitals or not: the page, place columns and FOUND."""
-    own = found.withColumn("_model", F.upper("model"))
-    first = own.groupBy(*page, "_model").agg(F.min(F.struct(*order)).alias("_first"))
-    return own.join(first, [*page, "_model"]).where(F.struct(*order) == F.col("_first")).drop("_model", "_first")
+    place = F.rank().over(Window.partitionBy(*page, F.upper("model")).orderBy(*order))
+    return found.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def curve_records(pages: DataFrame, cells: DataFrame, headers: DataFrame, tables: DataFrame, text: str = "text") -> DataFrame:
     """Records of pages by their tables, and by their texts where no table gave any; the first of each model. tables tells the
     page of each table (table_id and the page's columns). place is the table or -1, line_no its row or the line."""
     keys = [x for x in pages.columns if x != text]
-    speeds = tables.join(pages.select(*keys, speed_of(F.col(text)).alias("rpm")), keys).select("table_id", "rpm")
-    by_table = curves_in_tables(cells, headers, speeds).join(tables, "table_id").select(*keys, F.col("table_id").cast("long").alias("place"), F.col("row_id").cast("long").alias("line_no"), *FOUND)
-    bare = pages.join(by_table.select(*keys).distinct(), keys, "left_anti")
+    speeds = tables.join(pages.select(*keys, speed_of(F.col(text)).alias("rpm")).hint("merge"), keys).select("table_id", "rpm")
+    by_table = curves_in_tables(cells, headers, speeds).join(tables.hint("merge"), "table_id").select(*keys, F.col("table_id").cast("long").alias("place"), F.col("row_id").cast("long").alias("line_no"), *FOUND)
+    by_table = staged(by_table, "curve-records")
+    bare = pages.join(by_table.select(*keys).distinct().hint("merge"), keys, "left_anti")
     by_text = curves_in_text(bare.select(*keys, text), text).select(*keys, F.lit(-1).cast("long").alias("place"), F.col("line_no").cast("long").alias("line_no"), *FOUND)
     return first_of_model(by_table.unionByName(by_text), keys, ["place", "line_no"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import curve_tables as C
-from .inputs import table
+from .inputs import spread, table
 from .registry import query
 
 # a page for each part; '{...}' are the part's numbers
@@ -50,7 +50,7 @@ by_text AS (SELECT source_file, page_num, line_no, {NOMINAL_SQL} AS k, model, rp
 
 
 def pages(spark, d):
-    table(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS n").createOrReplaceTempView("_curve_parts")
+    spread(table(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS n"), "k").createOrReplaceTempView("_curve_parts")
     return spark.sql(f"SELECT k % 10 AS source_file, k AS page_num, {TEXT} AS text FROM _curve_parts")
 
 
@@ -93,7 +93,7 @@ by_table AS (SELECT *, {NOMINAL_SQL} AS k FROM (SELECT table_id, row_id, words[-
 
 def tables(spark, d):
     """cells and headers of the tables."""
-    table(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS n", "p_partkey % 5 AS kind").createOrReplaceTempView("_curve_parts")
+    spread(table(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS n", "p_partkey % 5 AS kind"), "k").createOrReplaceTempView("_curve_parts")
     rows = spark.sql(f"SELECT k AS table_id, posexplode(CASE WHEN kind = 4 THEN array({', '.join(ROWS[:2])}) ELSE array({', '.join(ROWS)}) END) AS (row_id, row) FROM _curve_parts")
     heads = spark.sql("SELECT k AS table_id, CASE WHEN kind = 1 THEN 'Model, Q [m³/h]|kW|2|4|6' ELSE 'Model|kW|c|d|e' END AS row FROM _curve_parts")
     cut = F.posexplode(F.split("row", r"\|")).alias("col_id", "text")

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by a key to four tasks for each core. A small file is read in one task; what makes many rows of each of its
+    rows would run in that task alone. The number is given, since Spark joins small partitions of its own number again."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each extracted model record; seq, q_nom, h_nom and confidence together order the rows."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
