@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound, once
 from ..functions.numbers import half_up, parse_number
 from ..functions.units import convert
 from ..sources.staging import staged
@@ -56,22 +57,23 @@ def clean_header(text: Column, breaks: str = " ") -> Column:
 def header_field(text: Column, words: dict[str, list[str]] = HEADER_WORDS) -> Column:
     """struct(field, score): the field with the longest word in the header, or 5 for its bare symbol; null without one. A line
     break counts as a blank, or as nothing where it tears a word."""
-    h, joined = clean_header(text), clean_header(text, "")
-    scores = []
-    for i, (field, own) in enumerate(words.items()):
-        by_word = F.array_max(F.transform(F.array(*map(F.lit, own)), lambda w: F.when(F.contains(h, w) | F.contains(joined, w), F.length(w)).otherwise(0)))
-        if field in SYMBOLS:
-            by_word = F.greatest(by_word, F.when(h.rlike(f"(?i)^{SYMBOLS[field]}([^a-zA-Z]|$)"), 5).otherwise(0))
-        scores.append(F.struct(by_word.alias("score"), F.lit(-i).alias("place"), F.lit(field).alias("field")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, F.struct(best["field"].alias("field"), best["score"].alias("score")))
+    row = lambda score, i, field, w: F.struct(F.lit(score).alias("score"), F.lit(-i).alias("place"), F.lit(field).alias("field"), F.lit(w).alias("word"))
+    known = F.array(*(row(len(w), i, field, w) for i, (field, own) in enumerate(words.items()) for w in own))
+    symbols = [(SYMBOLS[field], row(5, i, field, "")) for i, field in enumerate(words) if field in SYMBOLS]
+
+    def best(both: Column) -> Column:
+        found = F.filter(known, lambda x: F.contains(both["h"], x["word"]) | F.contains(both["joined"], x["word"]))
+        if symbols:
+            found = F.concat(found, F.array_compact(F.array(*(F.when(both["h"].rlike(f"(?i)^{symbol}([^a-zA-Z]|$)"), x) for symbol, x in symbols))))
+        return bound(F.array_max(found), lambda x: F.when(x["score"] > 0, F.struct(x["field"].alias("field"), x["score"].alias("score"))))
+
+    return bound(F.struct(clean_header(text).alias("h"), clean_header(text, "").alias("joined")), best)
 
 
 def match_headers(headers: DataFrame, words: dict[str, list[str]] = HEADER_WORDS) -> DataFrame:
-    """headers (text and others) with field and score, null without one. Tables repeat their headers, so each different text is
-    matched once and met in a join."""
-    own = headers.select("text").distinct().select("text", header_field(F.col("text"), words).alias("_f"))
-    return headers.join(own, "text", "left").select(*headers.columns, "_f.field", "_f.score")
+    """headers (text and others) with field and score, null without one. Each row is matched by itself, so that the few texts that
+    all tables share are no hot keys; a filter on field isn't worked into the match."""
+    return headers.select(*headers.columns, F.inline(F.array(F.struct(header_field(F.col("text"), words).alias("_f"))))).select(*headers.columns, "_f.field", "_f.score")
 
 
 def infer_from_values(cells: DataFrame, rpm_values: list[int] = RPM_VALUES) -> DataFrame:
@@ -170,21 +172,24 @@ def transposed_records(cells: DataFrame, headers: DataFrame, speeds: DataFrame |
     table needs three rows and columns, two cells with words of parameters among the first look rows of its first column, and one
     of flow or head. Of several rows of a parameter the last counts. Ranges give their middle; a speed counts from 800 to 3600,
     else the page's (0 without). Columns whose header has under two characters, or without flow and head, give nothing.
+
+    Joins are by sorted shuffles: what they meet grows with the tables, though Spark takes it for as small as the file that it
+    is derived from and would send it through the driver.
     """
-    low = F.lower(F.trim("text"))
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    has = lambda low, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     first = cells.where((F.col("col_id") == 0) & (F.col("row_id") < look))
-    param = F.coalesce(*(F.when(has(words), name) for name, words in PARAMETERS.items()))
-    told = first.select("table_id", "row_id", F.coalesce(has(PARAMETER_WORDS), F.lit(False)).alias("hit"), param.alias("param"))
+    param = lambda low: F.coalesce(*(F.when(has(low, words), name) for name, words in PARAMETERS.items()))
+    told = bound(F.lower(F.trim("text")), lambda low: F.struct(F.coalesce(has(low, PARAMETER_WORDS), F.lit(False)).alias("hit"), param(low).alias("param")))
+    told = once(first, told, ["table_id", "row_id"])
     rows = told.groupBy("table_id").agg(F.count_if("hit").alias("hits"), *(F.max(F.when(F.col("param") == x, F.col("row_id"))).alias(f"_{x}") for x in PARAMETERS))
-    sizes = cells.groupBy("table_id").agg((F.max("row_id") + 1).alias("_rows")).join(headers.groupBy("table_id").agg(F.count("*").alias("_columns")), "table_id").where("_rows >= 3 AND _columns >= 3").select("table_id")
-    rows = rows.where("hits >= 2 AND coalesce(_q, _h) IS NOT NULL").join(sizes, "table_id")
+    sizes = cells.groupBy("table_id").agg((F.max("row_id") + 1).alias("_rows")).join(headers.groupBy("table_id").agg(F.count("*").alias("_columns")).hint("merge"), "table_id").where("_rows >= 3 AND _columns >= 3").select("table_id")
+    rows = rows.where("hits >= 2 AND coalesce(_q, _h) IS NOT NULL").join(sizes.hint("merge"), "table_id")
     at = F.array_compact(F.array(*(F.when(F.col(f"_{x}").isNotNull(), F.struct(F.col(f"_{x}").alias("row_id"), F.lit(x).alias("param"))) for x in PARAMETERS)))
     wanted = rows.select("table_id", F.inline(at))
-    values = cells.where("col_id > 0").join(wanted, ["table_id", "row_id"]).groupBy("table_id", "col_id").agg(*(F.max(F.when(F.col("param") == x, range_middle(F.col("text")))).alias(x) for x in PARAMETERS))
+    values = cells.where("col_id > 0").join(wanted.hint("merge"), ["table_id", "row_id"]).groupBy("table_id", "col_id").agg(*(F.max(F.when(F.col("param") == x, range_middle(F.col("text")))).alias(x) for x in PARAMETERS))
     models = headers.where("col_id > 0").select("table_id", "col_id", F.trim("text").alias("model")).where(F.length("model") >= 2)
-    own = models.join(values, ["table_id", "col_id"])
-    own = own.join(speeds.withColumnRenamed("rpm", "_page"), "table_id", "left") if speeds is not None else own.withColumn("_page", F.lit(0))
+    own = models.join(values.hint("merge"), ["table_id", "col_id"])
+    own = own.join(speeds.withColumnRenamed("rpm", "_page").hint("merge"), "table_id", "left") if speeds is not None else own.withColumn("_page", F.lit(0))
     value = lambda x: half_up(F.coalesce(x, F.lit(0.0)), 2).alias(x)
     rpm = F.coalesce(F.when(F.col("rpm").between(800, 3600), F.col("rpm").cast("int")), F.col("_page"), F.lit(0))
     return own.select("table_id", "col_id", "model", value("q"), value("h"), value("p"), rpm.cast("int").alias("rpm")).where("q > 0 OR h > 0")

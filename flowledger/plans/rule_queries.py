@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import page_rules as R
 from ..operators import pages as P
 from ..operators import tables as T
-from .inputs import PAGES, pages, table
+from .inputs import PAGES, pages, table, spread
 from .registry import query
 
 KINDS = [
@@ -134,7 +134,7 @@ TR_KINDS = {0: TRANSPOSED, 1: TRANSPOSED[:2], 2: ["Alpha|1|2|3", "Beta|4|5|6", "
     UNION ALL SELECT table_id, unnest([1, 2]), unnest(['TG 32', 'TG 40']), 0.0, unnest([n, 5.5::DOUBLE]), unnest([1.0::DOUBLE, 2.0]), 2950 FROM x WHERE kind = 3""",
 )
 def _(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("part")
+    spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").createOrReplaceTempView("part")
     fill = lambda text: "concat(" + ", ".join(f"'{p}'" if i % 2 == 0 else "p_size" for i, p in enumerate(text.replace("{n}", "\0n\0").split("\0"))) + ")"
     rows = "CASE p_partkey % 4 " + " ".join(f"WHEN {k} THEN array({', '.join(map(fill, own))})" for k, own in TR_KINDS.items()) + " END"
     cells = spark.sql(f"WITH r AS (SELECT p_partkey AS table_id, posexplode({rows}) AS (row_id, line) FROM part) SELECT table_id, row_id, posexplode(split(line, '[|]')) AS (col_id, text) FROM r")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions.units import detect_unit, unit_in
 from ..operators import tables as T
-from .inputs import CELLS, ENTRIES, cells, entries, table
+from .inputs import CELLS, ENTRIES, cells, entries, spread, table
 from .registry import query
 
 HEADS = ["Model", "Flow (m3/h)", "Head, m", "Power P2 [kW]", "Drehzahl rpm", "H1", "zzz"]
@@ -15,7 +15,7 @@ HEADS = ["Model", "Flow (m3/h)", "Head, m", "Power P2 [kW]", "Drehzahl rpm", "H1
 
 def headers(spark, d):
     """Seven headers for each supplier's table."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id"))
+    s = spread(table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id")), "table_id")
     return s.select("table_id", F.posexplode(F.array(*map(F.lit, HEADS))).alias("col_id", "text"))
 
 
@@ -86,7 +86,7 @@ WORD_HEADS = "wh AS (SELECT s_suppkey AS table_id, w, CASE s_suppkey % 3 WHEN 0
     SELECT table_id, w, field, score FROM (SELECT table_id, w, f AS field, score, row_number() OVER (PARTITION BY table_id, w ORDER BY score DESC, i) AS r FROM m) WHERE r = 1""",
 )
 def _(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id"))
+    s = spread(table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id")), "table_id")
     words = F.array(*map(F.lit, dict.fromkeys(w for own in T.HEADER_WORDS.values() for w in own)))
     w, k = F.col("w"), F.col("table_id") % 3
     rows = s.select("table_id", F.explode(words).alias("w"))
