@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import bound, once
+
 # Water at 20 °C, gravity, IEC motor sizes in kW.
 DENSITY, GRAVITY = 998.0, 9.81
 IEC_KW = [
@@ -143,12 +145,11 @@ def _adjustment(p: Column, kind: Column, eta: Column, limits: dict[str, Column],
 
 def with_checks(entries: DataFrame, q: str = "q_nom", h: str = "h_nom", p: str = "power_kw", model: str = "model", series: str | None = None, stages: str | None = None, curves: tuple[str, str] | None = None) -> DataFrame:
     """entries with kind (pump type), eta, near_kw (nearest motor size), reason ('ok' or a code) and adjustment (what
-    confidence loses). Each is a column of its own, worked out once, since later ones use it many times."""
+    confidence loses). Each is a column of its own, worked out once, since later ones use it many times; filters on them
+    aren't worked into the search for the type."""
     q, h, p, model = F.col(q), F.col(h), F.col(p), F.col(model)
-    out = entries.withColumn("_low", _low_name(model, F.col(series) if series else None))
-    types = _types(q, h, p, F.col("_low"), F.col(stages) if stages else None)
-    out = out.withColumns({"kind": _by_type(types, lambda kind: kind), "eta": efficiency(q, h, p), "near_kw": nearest_size(p)}).drop("_low")
-    out = out.withColumns(_limits(F.col("kind")))
+    low = bound(_low_name(model, F.col(series) if series else None), lambda name: _by_type(_types(q, h, p, name, F.col(stages) if stages else None), lambda kind: kind))
+    out = once(entries, bound(low, lambda kind: F.struct(kind.alias("kind"), efficiency(q, h, p).alias("eta"), nearest_size(p).alias("near_kw"), *(x.alias(name) for name, x in _limits(kind).items()))), [x for x in entries.columns if x not in ("kind", "eta", "near_kw", *_LIMITS)])
     limits, eta = {x: F.col(x) for x in _LIMITS}, F.col("eta")
     loss = _adjustment(p, F.col("kind"), eta, limits, F.col("near_kw"), curve_penalty(*map(F.col, curves)) if curves else None)
     usual = F.coalesce(eta.between(F.col("_eta_low"), F.col("_eta_high")), F.lit(False))
