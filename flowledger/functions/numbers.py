@@ -5,33 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 NUMBER = r"[0-9]+[.,]?[0-9]*"
 
 
-def _double(c: Column) -> Column:
-    """A cast that takes plain decimal text only (no 'NaN', 'Infinity' or type suffix)."""
-    return F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
+_PLAIN = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
+def _double(c: Column, shape: str = f"^({_PLAIN})$") -> Column:
+    """A cast that takes plain decimal text only (no 'NaN', 'Infinity' or type suffix). The text is named once."""
+    return F.regexp_extract(c, shape, 1).try_cast("double")
 
 
 def parse_number(c: Column) -> Column:
     """Decimal comma or dot; blanks, no-break spaces and a trailing dot don't count."""
-    return _double(F.regexp_replace(F.regexp_replace(F.translate(F.trim(c), ",", "."), "[  ]", ""), r"\.$", ""))
+    return _double(F.translate(c, ",  ", "."), rf"^({_PLAIN})\.?$")
 
 
 def parse_number_rich(c: Column) -> Column:
     """Takes off marks like ~ and >, reads thousand commas and exponents, the first of a range, the numerator, the first
     of several numbers, and drops units; text that starts with two letters is null."""
-    s = F.regexp_replace(F.trim(c), "^[~>< ≈≥≤]+", "")
-    s = F.when(s.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
-    word = s.rlike("^[A-Za-zА-Яа-я]{2}")
-    s = F.translate(s, ",", ".")
-    scientific = s.rlike("[eE]") & s.rlike(r"\d")
-    number = _double(s)
-    large = F.when(F.abs(number) <= 1e6, number)
-    first = F.trim(F.split(s, "[-–—~…]", 2)[0])
-    first = F.when(first.contains("/"), F.trim(F.split(first, "/", 2)[0])).otherwise(first)
-    first = F.when(first.rlike(r"^[\d.]*\d[\d.]*(\s+[\d.]*\d[\d.]*)+$"), F.split(first, r"\s+", 2)[0]).otherwise(first)
-    return F.when((s == "") | word, None).when(scientific, large).otherwise(_double(F.regexp_replace(first, r"[^\d.]", "")))
+    bare = lambda s: F.when(s.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
+    numerator = lambda x: F.when(x.contains("/"), F.trim(F.split(x, "/", 2)[0])).otherwise(x)
+    single = lambda x: F.when(x.rlike(r"^[\d.]*\d[\d.]*(\s+[\d.]*\d[\d.]*)+$"), F.split(x, r"\s+", 2)[0]).otherwise(x)
+
+    def number(s: Column) -> Column:
+        scientific = s.rlike("[eE]") & s.rlike(r"\d")
+        large = bound(_double(s), lambda x: F.when(F.abs(x) <= 1e6, x))
+        first = bound(bound(F.trim(F.split(s, "[-–—~…]", 2)[0]), numerator), single)
+        return F.when((s == "") | s.rlike("^[A-Za-zА-Яа-я]{2}"), None).when(scientific, large).otherwise(_double(F.regexp_replace(first, r"[^\d.]", "")))
+
+    return bound(bound(F.regexp_replace(F.trim(c), "^[~>< ≈≥≤]+", ""), bare), lambda s: bound(F.translate(s, ",", "."), number))
 
 
 def parse_broken_number(c: Column) -> Column:
@@ -47,7 +52,7 @@ def parse_slash_number(c: Column) -> Column:
     """'1-phase / 3-phase': the second if it is positive, else the first if that is."""
     s = F.trim(c)
     parts = F.split(s, "/", 2)
-    positive = lambda x: F.when(x > 0, x)
+    positive = lambda number: bound(number, lambda x: F.when(x > 0, x))
     pair = F.coalesce(positive(parse_number(F.try_element_at(parts, F.lit(2)))), positive(parse_number(F.element_at(parts, 1))))
     return F.when(s.contains("/"), pair).otherwise(parse_number(s))
 
