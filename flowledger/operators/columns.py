@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound, once
 from ..functions.modelcodes import clean_raw_name
 from ..functions.names import plain_key
 from ..functions.numbers import half_up, parse_number_rich
@@ -74,13 +75,19 @@ def column_roles(headers: DataFrame) -> DataFrame:
         return F.struct(x["col_id"].alias("col_id"), _has(s, MODEL_WORDS).alias("model"), (_has(s, FLOW_WORDS) & ~head & ~F.col("grid")).alias("q"), head.alias("h"), power.alias("kw"), _has(s, SPEED_WORDS).alias("rpm"), _has(s, HORSE_WORDS).alias("hp"))
 
     own = own.withColumn("_told", F.when(~F.col("_none"), F.transform("names", told)))
-    def first(flag: str, taken: list[Column]) -> Column:
+
+    def first(told: Column, flag: str, taken: Column) -> Column:
         """The first column with the flag that has no role yet."""
-        free = lambda x: ~F.coalesce(F.array_contains(F.array_compact(F.array(*taken)), x["col_id"]), F.lit(False)) if taken else F.lit(True)
-        return F.get(F.filter("_told", lambda x: x[flag] & free(x)), F.lit(0))["col_id"]
+        return F.get(F.filter(told, lambda x: x[flag] & ~F.coalesce(F.array_contains(taken, x["col_id"]), F.lit(False))), F.lit(0))["col_id"]
+
+    def roles(told: Column, found: list[Column], taken: Column) -> Column:
+        if len(found) == len(ROLES):
+            return F.struct(*(x.alias(role) for role, x in zip(ROLES, found, strict=True)))
+        one = first(told, ROLES[len(found)].removesuffix("_col"), taken)
+        return bound(one, lambda x: roles(told, [*found, x], F.array_compact(F.concat(taken, F.array(x)))))
 
-    for k, role in enumerate(ROLES):
-        own = own.withColumn(role, first(role.removesuffix("_col"), [F.col(r) for r in ROLES[:k]]))
+    none = F.array().cast(f"array<{headers.schema['col_id'].dataType.simpleString()}>")
+    own = once(own, bound("_told", lambda told: roles(told, [], none)), ["table_id", "grid", "names"])
     head = F.lower(F.get(F.filter("names", lambda x: x["col_id"] == F.col("h_col")), F.lit(0))["text"])
     return own.select("table_id", *ROLES, "grid", F.coalesce(_has(head, MILLIMETRES), F.lit(False)).alias("h_in_mm"), "names")
 
