@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound, once
 from ..functions.numbers import numbers_in, parse_number
 from .wordscan import words_in
 
@@ -34,8 +35,7 @@ DATA_TYPES = ["data_table", "model_range", "data_graph"]
 
 def keyword_score(text: Column, keywords: list[str]) -> Column:
     """How many different keywords a text has, in any case."""
-    low = F.lower(text)
-    return sum((F.contains(low, F.lit(k)).cast("int") for k in dict.fromkeys(k.lower() for k in keywords)), F.lit(0))
+    return bound(F.lower(text), lambda low: sum((F.contains(low, F.lit(k)).cast("int") for k in dict.fromkeys(k.lower() for k in keywords)), F.lit(0)))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -47,9 +47,11 @@ def classify(pages: DataFrame, text: str = "text", page: str = "page_num", table
     contents, model_code, model_range). tables: number of tables found on the page. Null text counts as empty."""
     own = {"skip": SKIP, "data": DATA, "graph": GRAPH, "cover": COVER, "contents": CONTENTS, "model_code": MODEL_CODE, "model_range": MODEL_RANGE} | (keywords or {})
     body = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(F.trim(body))
     tables = F.lit(0) if tables is None else F.coalesce(tables, F.lit(0))
-    out = pages.withColumns({f"_{k}": keyword_score(low, words) for k, words in own.items()} | {"_low": low, "_models": matches(body, MODEL_NAME), "_rows": matches(body, NUMERIC_ROW), "_header": body.rlike(Q_HEADER), "_units": body.rlike(UNIT_WORD)})
+    marks = {"_models": matches(body, MODEL_NAME), "_rows": matches(body, NUMERIC_ROW), "_header": body.rlike(Q_HEADER), "_units": body.rlike(UNIT_WORD)}
+    # what a page's text tells, once for each page however often a filter on the type asks for it
+    told = lambda low: F.struct(*(x.alias(name) for name, x in ({f"_{k}": keyword_score(low, words) for k, words in own.items()} | {"_low": low} | marks).items()))
+    out = once(pages, bound(F.lower(F.trim(body)), told), pages.columns)
     c = F.col
     data = c("_data") + F.when(c("_models") >= 3, 3).when(c("_models") >= 1, 1).otherwise(0) + F.when(c("_rows") >= 3, 2).otherwise(0) + F.when(tables >= 1, 2).otherwise(0) + F.when(c("_header"), 2).otherwise(0) + F.when(c("_units"), 1).otherwise(0)
     named = lambda a, b: F.contains(c("_low"), F.lit(a)) | F.contains(c("_low"), F.lit(b))
