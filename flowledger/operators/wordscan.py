@@ -51,8 +51,9 @@ def words_in(rows: DataFrame, text: str, words: DataFrame, most: int = MAX_WORDS
         automaton = _automaton(number, names) if names else None
         for batch in batches:
             at, terms, hits = [], [], []
-            for i, body in enumerate(batch.column(0).to_pylist() if automaton else ()):
-                if not body:
+            # one text at a time: a batch's texts aren't held twice
+            for i, own_text in enumerate(batch.column(0) if automaton else ()):
+                if not (body := own_text.as_py()):
                     continue
                 found: dict[int, list[int]] = {}  # word: how often, where the last one ends
                 for end, k in automaton.iter(body):
