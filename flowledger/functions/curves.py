@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
 from .numbers import half_up
 
 
@@ -50,7 +51,7 @@ def is_swapped(q: Column, h: Column) -> Column:
 def fix_flow(q: Column) -> Column:
     """Repairs up to three places where flow doesn't rise: the neighbour that departs more from the mean of its own
     neighbours takes that mean. The repairs see each other, from left to right; without full success q stays as it is."""
-    bad = F.filter(F.sequence(F.lit(1), F.size(q) - 1), lambda i: F.get(q, i) <= F.get(q, i - 1))
+    falls = lambda x: F.filter(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.get(x, i) <= F.get(x, i - 1))
     put = lambda a, at, value: F.transform(a, lambda x, i: F.when(i == at, value).otherwise(x))
 
     def step(state: Column, i: Column) -> Column:
@@ -63,13 +64,19 @@ def fix_flow(q: Column) -> Column:
         use_left = (by_left >= by_right) & (i >= 2)
         at = F.when(use_left, i - 1).when(i < F.size(a) - 1, i)
         value = half_up(F.when(use_left, left).otherwise(right), 1)
-        skip = F.array_contains(done, i) | at.isNull()
-        return F.struct(F.when(skip, a).otherwise(put(a, at, value)).alias("q"), F.when(skip, done).otherwise(F.array_append(done, at)).alias("done"))
 
-    start = F.struct(q.alias("q"), F.array().cast("array<int>").alias("done"))
-    fixed = F.aggregate(bad, start, step)["q"]
-    rises = F.size(F.filter(F.sequence(F.lit(1), F.size(fixed) - 1), lambda i: F.get(fixed, i) <= F.get(fixed, i - 1))) == 0
-    return F.when((F.size(q) >= 3) & F.size(bad).between(1, 3) & rises, fixed).otherwise(q)
+        def repaired(x: Column) -> Column:
+            skip = F.array_contains(done, i) | x["at"].isNull()
+            return F.struct(F.when(skip, a).otherwise(put(a, x["at"], x["value"])).alias("q"), F.when(skip, done).otherwise(F.array_append(done, x["at"])).alias("done"))
+
+        return bound(F.struct(at.alias("at"), value.alias("value")), repaired)
+
+    def fixed(own: Column) -> Column:
+        bad, start = own["bad"], F.struct(own["q"].alias("q"), F.array().cast("array<int>").alias("done"))
+        whole = bound(F.aggregate(bad, start, step)["q"], lambda x: F.when(F.size(falls(x)) == 0, x))
+        return F.when((F.size(own["q"]) >= 3) & F.size(bad).between(1, 3), F.coalesce(whole, own["q"])).otherwise(own["q"])
+
+    return bound(F.struct(q.alias("q"), falls(q).alias("bad")), fixed)
 
 
 def is_ascending(x: Column, share: float = 0.7) -> Column:
