@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
+#: Rows that a task gets on average where rows are dealt out by their number.
+ROWS_OF_A_TASK = 2**18
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """How many tasks get ROWS_OF_A_TASK rows each, one for each core at least. The rows of a file are counted by its footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS_OF_A_TASK))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each extracted model record; seq, q_nom, h_nom and confidence together order the rows."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -83,9 +94,10 @@ SOURCES = """sources AS (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """table_id, row_id, col_id, text: table cells with decimal commas."""
-    line = table(spark, sf_dir, "lineitem")
-    grouped = line.groupBy(F.col("l_suppkey").alias("table_id"), F.col("l_partkey").alias("row_id"), F.col("l_linenumber").alias("col_id")).agg(F.max("l_quantity").alias("x"))
+    """table_id, row_id, col_id, text: table cells with decimal commas, dealt out by table and row. The tasks grow in number with
+    the line items, not in memory; hardly two of these share a cell, so nothing is aggregated before they are dealt out."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_partkey").alias("row_id"), F.col("l_linenumber").alias("col_id"), "l_quantity")
+    grouped = line.repartition(tasks_for(line), "table_id", "row_id").groupBy("table_id", "row_id", "col_id").agg(F.max("l_quantity").alias("x"))
     return grouped.select("table_id", "row_id", "col_id", F.translate(F.col("x").cast("decimal(10,1)").cast("string"), ".", ",").alias("text"))
 
 
