@@ -66,7 +66,7 @@ def test_cells_are_dealt_out_by_their_number(spark, small_tasks):
     assert most_rows(inputs.cells(spark, SF)) < 400
 
 
-@pytest.mark.parametrize("name", ["t12_detect_qh_matrix"])
+@pytest.mark.parametrize("name", ["t12_detect_qh_matrix", "t22_direct_map_fallbacks"])
 def test_rows_of_tables_are_dealt_out_once(spark, small_tasks, name):
     got = registry.queries()[name](spark, SF)
     assert plan(spark, name, "executedPlan").count("Exchange ") == 1
