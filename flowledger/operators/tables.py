@@ -232,11 +232,17 @@ def unpivot_matrix(cells: DataFrame, q_header: DataFrame, least: int = 2, share:
     return curves.select("table_id", "row_id", F.transform("p", lambda x: x["q"]).alias("q_points"), F.transform("p", lambda x: x["h"]).alias("h_points"), best["q"].alias("q_nom"), best["h"].alias("h_nom"))
 
 
-def selection_chart(cells: DataFrame, q_axis: DataFrame, h_axis: DataFrame) -> DataFrame:
+def selection_chart(cells: DataFrame, q_axis: DataFrame, h_axis: DataFrame, tasks: int | None = None) -> DataFrame:
     """Cells that name models, with flows along columns and heads along rows: mean flow and head of each model.
-    q_axis: table_id, col_id, q; h_axis: table_id, row_id, h."""
-    named = cells.where("text IS NOT NULL AND trim(text) <> ''").join(q_axis, ["table_id", "col_id"]).join(h_axis, ["table_id", "row_id"])
-    return named.groupBy("table_id", F.trim("text").alias("model")).agg(F.avg("q").alias("q_nom"), F.avg("h").alias("h_nom"), F.count("*").alias("n"))
+    q_axis: table_id, col_id, q; h_axis: table_id, row_id, h. Cells are counted by column and model before they meet the flows, so
+    that a column of many cells isn't sorted in one task. With tasks, both steps are dealt out to so many."""
+    deal = lambda rows, *by: rows if tasks is None else rows.repartition(tasks, *by)
+    named = cells.where("text IS NOT NULL AND trim(text) <> ''").join(h_axis, ["table_id", "row_id"]).select("table_id", "col_id", F.trim("text").alias("model"), F.col("h").cast("double").alias("h"))
+    counted = deal(named, "table_id", "col_id", "model").groupBy("table_id", "col_id", "model").agg(F.sum("h").alias("h"), F.count("h").alias("n_h"), F.count("*").alias("n"))
+    met = deal(counted, "table_id", "col_id").join(q_axis, ["table_id", "col_id"])
+    mean = lambda total, n: F.try_divide(F.sum(total), F.sum(n))
+    q = mean(F.col("n") * F.col("q").cast("double"), F.when(F.col("q").isNotNull(), F.col("n")))
+    return met.groupBy("table_id", "model").agg(q.alias("q_nom"), mean("h", "n_h").alias("h_nom"), F.sum("n").alias("n"))
 
 
 def table_types(features: DataFrame) -> DataFrame:

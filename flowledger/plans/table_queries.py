@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions.units import detect_unit, unit_in
 from ..operators import tables as T
-from .inputs import CELLS, ENTRIES, cells, entries, spread, table
+from .inputs import CELLS, ENTRIES, cells, entries, spread, table, tasks_for
 from .registry import query
 
 HEADS = ["Model", "Flow (m3/h)", "Head, m", "Power P2 [kW]", "Drehzahl rpm", "H1", "zzz"]
@@ -233,10 +233,10 @@ def _(spark, d):
 
 @query("t18_selection_chart", f"WITH {CELLS} SELECT table_id, text AS model, round(avg(col_id * 10.0::DOUBLE), 6) AS q_nom, round(avg((row_id % 30)::DOUBLE), 6) AS h_nom, count(*) AS n FROM cells GROUP BY ALL")
 def _(spark, d):
-    own = cells(spark, d)
-    q = own.select("table_id", "col_id").distinct().withColumn("q", F.col("col_id") * 10.0)
+    own, line = cells(spark, d), table(spark, d, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_linenumber").alias("col_id"))
+    q = line.distinct().withColumn("q", F.col("col_id") * 10.0)
     h = own.select("table_id", "row_id").distinct().withColumn("h", (F.col("row_id") % 30).cast("double"))
-    return T.selection_chart(own, q, h).select("table_id", "model", F.round("q_nom", 6).alias("q_nom"), F.round("h_nom", 6).alias("h_nom"), "n")
+    return T.selection_chart(own, q, h, tasks_for(line)).select("table_id", "model", F.round("q_nom", 6).alias("q_nom"), F.round("h_nom", 6).alias("h_nom"), "n")
 
 
 @query("t20_detect_table_type", "SELECT s_suppkey AS table_id, CASE s_suppkey % 5 WHEN 0 THEN 'transposed' WHEN 1 THEN 'qh_matrix' WHEN 2 THEN 'flat' WHEN 3 THEN 'list' ELSE 'unknown' END AS table_type, CASE s_suppkey % 5 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.85::DOUBLE WHEN 3 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS type_confidence FROM supplier")

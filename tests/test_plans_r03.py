@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowledger.functions import curves, numbers
+from flowledger.operators import tables
 from flowledger.plans import inputs, registry
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,20 @@ def test_rows_of_tables_are_dealt_out_once(spark, small_tasks, name):
     assert plan(spark, name, "executedPlan").count("Exchange ") == 1
     assert most_rows(got) < 400
     assert_equals_sql(got, name)
+
+
+def test_no_task_gets_all_cells_of_a_chart(spark, small_tasks):
+    name, n = "t18_selection_chart", inputs.tasks_for(inputs.table(spark, SF, "lineitem"))
+    shuffles = [line for line in plan(spark, name, "executedPlan").splitlines() if "Exchange " in line]
+    # cells and heads by row, cells by column and model, these counts by column, the flows as they are met
+    assert sum(f", {n})" in line for line in shuffles) >= 4
+    assert_equals_sql(registry.queries()[name](spark, SF), name)
+
+
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_chart_with_doubled_and_missing_axes(spark, tasks):
+    cells = spark.createDataFrame([(1, 0, 1, " A "), (1, 1, 1, "A"), (1, 2, 1, "A"), (1, 0, 2, "A"), (1, 1, 2, "B"), (1, 2, 2, " "), (1, 2, 3, "B"), (2, 0, 1, "C")], "table_id int, row_id int, col_id int, text string")
+    q = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0), (1, 2, 40.0), (1, 3, None), (2, 1, None)], "table_id int, col_id int, q double")
+    h = spark.createDataFrame([(1, 0, 5.0), (1, 1, None), (1, 2, 8.0), (2, 0, None)], "table_id int, row_id int, h double")
+    got = sorted(map(tuple, tables.selection_chart(cells, q, h, tasks).collect()))
+    assert got == [(1, "A", 18.0, 5.75, 5), (1, "B", 30.0, 8.0, 3), (2, "C", None, None, 1)]
