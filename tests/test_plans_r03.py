@@ -90,3 +90,10 @@ def test_chart_with_doubled_and_missing_axes(spark, tasks):
     h = spark.createDataFrame([(1, 0, 5.0), (1, 1, None), (1, 2, 8.0), (2, 0, None)], "table_id int, row_id int, h double")
     got = sorted(map(tuple, tables.selection_chart(cells, q, h, tasks).collect()))
     assert got == [(1, "A", 18.0, 5.75, 5), (1, "B", 30.0, 8.0, 3), (2, "C", None, None, 1)]
+
+
+def test_rows_of_pump_tables_are_counted_where_they_are(spark, small_tasks):
+    name, n = "t8_is_pump_table", inputs.tasks_for(inputs.table(spark, SF, "lineitem"))
+    shuffles = [line for line in plan(spark, name, "executedPlan").splitlines() if "Exchange " in line and "row_id" in line]
+    assert len(shuffles) == 1 and f", {n})" in shuffles[0]
+    assert_equals_sql(registry.queries()[name](spark, SF), name)
