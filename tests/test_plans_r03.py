@@ -99,7 +99,7 @@ def test_rows_of_pump_tables_are_counted_where_they_are(spark, small_tasks):
     assert_equals_sql(registry.queries()[name](spark, SF), name)
 
 
-@pytest.mark.parametrize("name", ["t22_direct_map_fallbacks"])
+@pytest.mark.parametrize("name", ["t22_direct_map_fallbacks", "t8_is_pump_table"])
 def test_more_tasks_than_files_at_a_time(spark, monkeypatch, name):
     """Above 200 tasks Spark sorts what it deals out; the tables of 6 GB have 824."""
     monkeypatch.setattr(inputs, "ROWS_OF_A_TASK", 20)
